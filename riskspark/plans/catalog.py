@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "q_features",
+    "q_online",
 )
 
 
