@@ -208,3 +208,30 @@ SELECT event_id AS row_id,
             ELSE strftime(ts, '%Y/%m/%d %H:%M') END AS ts_text
 FROM events
 """
+
+
+def raw_score(row_id: str = "row_id"):
+    """Unrounded stand-in probability (no exact 4-decimal ties)."""
+    return F.pmod(F.col(row_id) * 7919, F.lit(100003)) / 100003.0
+
+
+RAW_SCORE_SQL = "((row_id * 7919) % 100003) / 100003.0"
+
+
+def failed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consumer events with a processing outcome (O-58 input): error events
+    fail; every fourth of them permanently; retry counts cycle 0..4."""
+    t = events_txn(spark, sf_dir)
+    kind = F.when(F.col("payment_channel") == "error",
+                  F.when(F.pmod(F.col("row_id"), F.lit(4)) == 0, "PERMANENT").otherwise("RETRYABLE"))
+    return t.select("row_id", kind.alias("error_kind"),
+                    F.pmod(F.col("row_id"), F.lit(5)).cast("int").alias("retry_count"))
+
+
+FAILED_EVENTS_SQL = f"""
+SELECT row_id,
+       CASE WHEN payment_channel = 'error' THEN
+            CASE WHEN row_id % 4 = 0 THEN 'PERMANENT' ELSE 'RETRYABLE' END END AS error_kind,
+       CAST(row_id % 5 AS INTEGER) AS retry_count
+FROM ({EVENTS_TXN_SQL}) t
+"""

@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "q_features",
     "q_online",
+    "q_decide",
 )
 
 
