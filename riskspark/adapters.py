@@ -145,6 +145,9 @@ def predictions(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> Dat
         F.col("ts").alias("created_at"),
         F.col("amount"), F.col("payment_channel"), F.col("location"),
         F.col("status"), F.col("is_fraud"),
+        F.array_compact(F.array(
+            F.when(F.col("amount") >= 50, F.lit("AMOUNT_OUTLIER")),
+            F.when(F.col("location") == 0, F.lit("NEW_LOCATION")))).alias("risk_flags"),
     )
 
 
@@ -156,7 +159,9 @@ SELECT CAST(row_id AS VARCHAR) AS transaction_id, CAST(account AS VARCHAR) AS us
        CASE WHEN fraud_probability >= 0.7 THEN 'BLOCK'
             WHEN fraud_probability >= 0.3 THEN 'REVIEW' ELSE 'ALLOW' END AS decision,
        0.5 AS threshold, 'v2' AS model_version, ts AS created_at,
-       amount, payment_channel, location, status, is_fraud
+       amount, payment_channel, location, status, is_fraud,
+       list_filter([CASE WHEN amount >= 50 THEN 'AMOUNT_OUTLIER' END,
+                    CASE WHEN location = 0 THEN 'NEW_LOCATION' END], lambda x: x IS NOT NULL) AS risk_flags
 FROM ({SCORED_TXN_SQL}) s
 """
 

@@ -8,6 +8,7 @@ MODULES = (
     "q_features",
     "q_online",
     "q_decide",
+    "q_dashboard",
 )
 
 

@@ -85,7 +85,7 @@ def o55(spark, sf):
 @register("o56_prediction_records", f"""
 SELECT transaction_id, user_id, {r6('fraud_probability', 'fraud_probability')},
        {r6('confidence', 'confidence')}, prediction, decision, 0.5 AS threshold,
-       '2.0.0' AS model_version, '' AS risk_flags, created_at FROM ({P}) p""")
+       '2.0.0' AS model_version, array_to_string(risk_flags, '|') AS risk_flags, created_at FROM ({P}) p""")
 def o56(spark, sf):
     r = dc.prediction_records(A.predictions(spark, sf))
     return r.withColumn("risk_flags", F.concat_ws("|", "risk_flags"))
@@ -93,11 +93,10 @@ def o56(spark, sf):
 
 @register("o56_anomaly_records", f"""
 SELECT transaction_id, {r6('fraud_probability', 'anomaly_score')}, decision AS anomaly_type,
-       'xgboost' AS model_name, '2.0.0' AS model_version, '' AS explanation,
+       'xgboost' AS model_name, '2.0.0' AS model_version, array_to_string(risk_flags, ',') AS explanation,
        created_at AS detected_at FROM ({P}) p""")
 def o56b(spark, sf):
-    p = A.predictions(spark, sf).withColumn("risk_flags", F.array().cast("array<string>"))
-    return dc.anomaly_records(p)
+    return dc.anomaly_records(A.predictions(spark, sf))
 
 
 @register("o57_review_queue", f"""
