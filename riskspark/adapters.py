@@ -240,3 +240,18 @@ SELECT row_id,
        CAST(row_id % 5 AS INTEGER) AS retry_count
 FROM ({EVENTS_TXN_SQL}) t
 """
+
+
+def eval_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled scores for evaluation: label = fraud flag, score on a
+    4-decimal grid built from integers (correlated with the label, many
+    ties) so both engines compute the same doubles."""
+    t = events_txn(spark, sf_dir)
+    si = F.col("is_fraud") * 3500 + F.pmod(F.col("row_id") * 37, F.lit(1000)) * 6
+    return t.select("row_id", F.col("is_fraud").alias("label"), (si / 10000.0).alias("score"))
+
+
+EVAL_SCORED_SQL = f"""
+SELECT row_id, is_fraud AS label, (is_fraud * 3500 + ((row_id * 37) % 1000) * 6) / 10000.0 AS score
+FROM ({EVENTS_TXN_SQL}) t
+"""

@@ -9,6 +9,7 @@ MODULES = (
     "q_online",
     "q_decide",
     "q_dashboard",
+    "q_evaluate",
 )
 
 
