@@ -255,3 +255,38 @@ EVAL_SCORED_SQL = f"""
 SELECT row_id, is_fraud AS label, (is_fraud * 3500 + ((row_id * 37) % 1000) * 6) / 10000.0 AS score
 FROM ({EVENTS_TXN_SQL}) t
 """
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored transactions keyed by transaction id (joins with predictions)."""
+    t = events_txn(spark, sf_dir)
+    return t.select(F.col("row_id").cast("string").alias("transaction_id"),
+                    F.col("account").cast("string").alias("user_id"), "ts", "amount",
+                    F.col("payment_channel").alias("payment_method"), "merchant",
+                    F.col("location").cast("string").alias("location"), "status")
+
+
+TRANSACTIONS_SQL = f"""
+SELECT CAST(row_id AS VARCHAR) AS transaction_id, CAST(account AS VARCHAR) AS user_id, ts, amount,
+       payment_channel AS payment_method, merchant, CAST(location AS VARCHAR) AS location, status
+FROM ({EVENTS_TXN_SQL}) t
+"""
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gateway requests derived from events (O-100 input)."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.when(F.col("event_type").isin("purchase", "error"), "POST").otherwise("GET").alias("method"),
+        F.concat(F.lit("/api/"), F.col("event_type")).alias("path"),
+        F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"),
+        (F.col("value") / 100.0).alias("duration_s"))
+
+
+REQUEST_LOG_SQL = """
+SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 'POST' ELSE 'GET' END AS method,
+       '/api/' || event_type AS path,
+       CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status,
+       value / 100.0 AS duration_s
+FROM events
+"""

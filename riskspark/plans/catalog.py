@@ -10,6 +10,7 @@ MODULES = (
     "q_decide",
     "q_dashboard",
     "q_evaluate",
+    "q_monitor",
 )
 
 
