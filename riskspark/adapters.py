@@ -290,3 +290,25 @@ SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 'POST' ELSE 'GET' END
        value / 100.0 AS duration_s
 FROM events
 """
+
+
+# Fixed mapping from event types to request channels ('error' maps to an
+# unsupported channel so validation has rejects).
+REQUEST_CHANNELS = {"click": "CARD", "view": "UPI", "purchase": "NET_BANKING", "signup": "WALLET",
+                    "error": "CRYPTO"}
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests (F3 shape) derived from events."""
+    e = table(spark, sf_dir, "events")
+    m = F.create_map(*[F.lit(x) for kv in REQUEST_CHANNELS.items() for x in kv])
+    return e.select(F.col("event_id").alias("row_id"), (F.col("value") - 0.02).alias("amount"),
+                    m[F.col("event_type")].alias("payment_channel"))
+
+
+REQUESTS_SQL = """
+SELECT event_id AS row_id, value - 0.02 AS amount,
+       CASE event_type WHEN 'click' THEN 'CARD' WHEN 'view' THEN 'UPI' WHEN 'purchase' THEN 'NET_BANKING'
+                       WHEN 'signup' THEN 'WALLET' WHEN 'error' THEN 'CRYPTO' END AS payment_channel
+FROM events
+"""

@@ -11,6 +11,7 @@ MODULES = (
     "q_dashboard",
     "q_evaluate",
     "q_monitor",
+    "q_datasets",
 )
 
 

@@ -119,11 +119,12 @@ def o19(spark, sf):
         "row_id", "hour", "day_of_week", "month", "is_weekend")
 
 
-FEATURE_ROW_SQL = _prior_sql(S, SH_ORDER, ("receiver", "to_bank", "payment_channel")) + f"""
-SELECT {SH_KEYS}, round(amount, 6) AS amount, payment_channel,
-       {r6(TSLT_SQL, 'time_since_last_transaction')},
+def _feature_row_sql(fmt) -> str:
+    return _prior_sql(S, SH_ORDER, ("receiver", "to_bank", "payment_channel")) + f"""
+SELECT {SH_KEYS}, {fmt('amount', 'amount')}, payment_channel,
+       {fmt(TSLT_SQL, 'time_since_last_transaction')},
        prior_n AS velocity_score,
-       {r6(Z_SQL, 'spending_deviation_score')},
+       {fmt(Z_SQL, 'spending_deviation_score')},
        CAST(prior_n = 0 AS BIGINT) AS is_first_transaction,
        {CAL_SQL},
        CAST(is_fraud AS BIGINT) AS is_fraud,
@@ -135,6 +136,11 @@ SELECT {SH_KEYS}, round(amount, 6) AS amount, payment_channel,
 FROM s"""
 
 
+FEATURE_ROW_SQL = _feature_row_sql(r6)
+# unrounded twin, for queries that aggregate feature rows further
+FEATURE_ROW_RAW_SQL = _feature_row_sql(lambda e, a: f"CAST({e} AS DOUBLE) AS {a}")
+
+
 def feature_rows_query(spark, sf, **kw):
     return feat.feature_rows(A.ship_txn(spark, sf), A.SHIP_TIE, keep=A.SHIP_TIE, **kw)
 
