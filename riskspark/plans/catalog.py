@@ -12,6 +12,7 @@ MODULES = (
     "q_evaluate",
     "q_monitor",
     "q_datasets",
+    "q_sources",
 )
 
 
