@@ -13,6 +13,7 @@ MODULES = (
     "q_monitor",
     "q_datasets",
     "q_sources",
+    "q_streaming",
 )
 
 

@@ -15,6 +15,11 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # keyed streaming state: RocksDB store; the Python state client talks
+    # to the JVM over a unix domain socket instead of a loopback TCP port
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.python.unix.domain.socket.enabled": "true",
 }
 
 
