@@ -14,6 +14,7 @@ MODULES = (
     "q_datasets",
     "q_sources",
     "q_streaming",
+    "q_train",
 )
 
 
