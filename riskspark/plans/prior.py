@@ -12,7 +12,9 @@ splits such accounts:
 2. Cold keys keep one window partition each (chunk 0).  Rows of hot keys
    are range-partitioned on the full, unique sort key ``(key, order...)``
    into ``ceil(hot_rows / chunk_rows)`` balanced ranges; the range id is
-   the chunk.  Chunks of a key are consecutive in event order.
+   the chunk.  Chunks of a key are consecutive in event order.  The tagged
+   hot rows are materialised with a reliable checkpoint, because sampled
+   range bounds may differ between two evaluations of the same plan.
 3. One window over ``(key, chunk)`` computes chunk-local prefix values.
    A per-chunk summary (count, mean, M2, last timestamp) has at most
    ``chunks + hot keys`` rows; its exclusive prefix over chunks is a window
@@ -34,6 +36,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.session import cut_lineage
+
 CHUNK = "_chunk"
 DEFAULT_CHUNK_ROWS = 2_000_000
 DEFAULT_MAX_HOT_KEYS = 200_000
@@ -86,9 +90,11 @@ def prior_scan(df: DataFrame, key: str, order: Sequence[str], value: str | None
     else:
         hb = F.broadcast(hot)
         cold = df.join(hb, key, "left_anti").withColumn(CHUNK, F.lit(0))
-        hot_part = (df.join(hb, key, "left_semi")
-                    .repartitionByRange(chunks, *_asc([key, *order]))
-                    .withColumn(CHUNK, F.spark_partition_id() + 1))
+        # materialised: the sampled range bounds (hence chunk ids) must be
+        # identical for the rows, the chunk summaries and the first-seen fixes
+        hot_part = cut_lineage(df.join(hb, key, "left_semi")
+                               .repartitionByRange(chunks, *_asc([key, *order]))
+                               .withColumn(CHUNK, F.spark_partition_id() + 1))
         base = cold.unionByName(hot_part)
 
     w = Window.partitionBy(key, CHUNK).orderBy(*_asc(order))

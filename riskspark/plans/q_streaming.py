@@ -15,7 +15,7 @@ from riskspark import adapters as A
 from riskspark.operators import baseline as bl
 from riskspark.plans.q_features import CAL_SQL, EV_ORDER, TSLT_SQL, Z_SQL, _prior_sql
 from riskspark.plans.q_online import SNAP
-from riskspark.plans.registry import r6, register
+from riskspark.plans.registry import r6, register, round6
 from riskspark.session import table_dir
 from riskspark.sources import files
 from riskspark.streaming import jobs
@@ -69,20 +69,20 @@ def o70(spark, sf):
 
 @register("o74_drift_accumulators", f"""WITH f AS ({EVENT_FEATURE_SQL})
 SELECT payment_channel, count(*) AS n, round(sum(amount), 6) AS sum_amount, sum(velocity_score) AS sum_velocity,
-       round(sum(spending_deviation_score), 4) AS sum_deviation FROM f GROUP BY payment_channel""")
+       round(sum(spending_deviation_score), 6) AS sum_deviation FROM f GROUP BY payment_channel""")
 def o74(spark, sf):
     base = _fresh(spark, "drift")
     schema = _stage(A.events_txn(spark, sf), f"{base}/in")
     feats = jobs.account_feature_stream(jobs.file_stream(spark, f"{base}/in", schema, max_files=1))
+    # accumulate the features as emitted at 6 places (the twin sums the same values)
+    feats = feats.withColumn("spending_deviation_score", round6(F.col("spending_deviation_score")))
     agg = jobs.drift_accumulators(feats)
 
     def overwrite(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/state_table")
 
     jobs.run_foreach_batch(agg, overwrite, f"{base}/ckpt", mode="complete")
-    out = spark.read.parquet(f"{base}/state_table")
-    # the sum of z-scores accumulates rounding differences: compare at 4 places
-    return out.withColumn("sum_deviation", F.round("sum_deviation", 4))
+    return spark.read.parquet(f"{base}/state_table")
 
 
 def _messages(spark, sf, base):

@@ -5,8 +5,13 @@ sampling, whatever the skew), sorts inside each partition, and reads the
 row's index inside its partition from ``monotonically_increasing_id`` (the
 lower 33 bits).  Per (partition, group) counts form a table of at most
 ``partitions x groups`` rows; their exclusive running sum is the offset
-of each partition's first row of the group.  The order must be unique so
-the positions are deterministic across task retries.
+of each partition's first row of the group.
+
+The range bounds come from sampling, and a sample depends on the order in
+which rows arrive from upstream shuffles; so the tagged rows are
+materialised with a reliable checkpoint (shared ``spark.checkpoint.dir``)
+before counts and positions are derived from them.  Both then read the
+same rows, task retries and executor loss included.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.session import cut_lineage
+
 LOW_BITS = 1 << 33
 
 
@@ -31,6 +38,7 @@ def positions(df: DataFrame, order: Sequence[Column | str], group: str | None =
     r = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id() - F.col("_pid").cast("long") * LOW_BITS))
+    r = cut_lineage(r)
     counts = r.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_loc").alias("_first"))
     wg = Window.partitionBy(*g) if g else Window.partitionBy()
     offs = counts.select(
