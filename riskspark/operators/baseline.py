@@ -14,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.calendar import online_calendar
 from riskspark.functions.numeric import exact_mean, round_half_away
 from riskspark.functions.rules import flag_array, risk_flag_rules
-from riskspark.plans.prior import prior_scan
+from riskspark.plans.prior import DEFAULT_CHUNK_ROWS, prior_scan
 
 HOUR_US = 3_600_000_000
 
@@ -30,24 +30,39 @@ def _us(ts: str) -> Column:
 
 
 def velocity_1h(txn: DataFrame, user: str = "account", ts: str = "ts",
-                tie: Sequence[str] = ("row_id",)) -> DataFrame:
+                tie: Sequence[str] = ("row_id",), chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """O-30: earlier rows of the user with ``ts >= this ts - 1 hour``.
 
-    = rows before this one (past-only scan) minus rows strictly older than
-    one hour, the latter a RANGE frame on epoch microseconds.
+    = rows before this one minus rows strictly older than one hour.  The
+    second count is an as-of lookup, done without a per-user window: every
+    row also emits a probe at ``ts - 1 h - 1 us`` ordered after real rows
+    of equal time; one skew-safe ``prior_scan`` over rows and probes counts
+    the real rows before each (probes carry a null value, so they are not
+    counted), and the probe counts are joined back on the row key (uniform
+    keys, no skew).
     """
-    s = prior_scan(txn, user, [ts, *tie])
-    older = Window.partitionBy(user).orderBy(_us(ts)).rangeBetween(
-        Window.unboundedPreceding, -(HOUR_US + 1))
-    return (s.withColumn("velocity_1h", (F.col("_prior_n") - F.count(F.lit(1)).over(older)).cast("bigint"))
-            .drop("_prior_n", "_prev_t"))
+    order_cols = [ts, "_kind", *tie]
+    # each row and its probe from one generator (no union of literal branches)
+    pair = F.explode(F.array(
+        F.struct(F.col(ts).alias("t"), F.lit(0).alias("k")),
+        F.struct((F.col(ts) - F.expr("INTERVAL 3600000001 MICROSECONDS")).alias("t"), F.lit(1).alias("k"))))
+    both = (txn.select(user, *tie, pair.alias("_p"))
+            .select(user, *tie, F.col("_p.t").alias(ts), F.col("_p.k").alias("_kind"))
+            .withColumn("_one", F.when(F.col("_kind") == 0, F.lit(1))))
+    s = prior_scan(both, user, order_cols, value="_one", chunk_rows=chunk_rows)
+    counts = s.select(*tie, "_kind", F.col("_prior_nv").alias("_n"))
+    older = counts.where(F.col("_kind") == 1).select(*tie, F.col("_n").alias("_older"))
+    mine = counts.where(F.col("_kind") == 0).select(*tie, F.col("_n").alias("_before"))
+    v = mine.join(older, list(tie)).select(*tie, (F.col("_before") - F.col("_older")).cast("bigint")
+                                           .alias("velocity_1h"))
+    return txn.join(v, list(tie))
 
 
 def seen_before(txn: DataFrame, cols: dict[str, str], user: str = "account", ts: str = "ts",
-                tie: Sequence[str] = ("row_id",)) -> DataFrame:
+                tie: Sequence[str] = ("row_id",), chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """O-31 row-wise: ``{out: col}`` -> true when an earlier row of the user
     had the same value (EXISTS over the past)."""
-    s = prior_scan(txn, user, [ts, *tie], firsts=list(dict.fromkeys(cols.values())))
+    s = prior_scan(txn, user, [ts, *tie], firsts=list(dict.fromkeys(cols.values())), chunk_rows=chunk_rows)
     for out, c in cols.items():
         s = s.withColumn(out, ~F.col(f"_first_{c}"))
     return s.drop("_prior_n", "_prev_t", *[f"_first_{c}" for c in set(cols.values())])
@@ -66,18 +81,19 @@ def exists_lookup(probes: DataFrame, history: DataFrame, keys: Sequence[str],
 
 
 def merchant_frequency(txn: DataFrame, user: str = "account", merchant: str = "merchant",
-                       ts: str = "ts", tie: Sequence[str] = ("row_id",)) -> DataFrame:
+                       ts: str = "ts", tie: Sequence[str] = ("row_id",),
+                       chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """O-32: earlier rows with this merchant / earlier rows (0 if none).
 
-    Both windows cluster on ``user`` so they share one exchange.
+    Two skew-safe prefix counts: per user and per (user, merchant) (a hot
+    pair is chunked like a hot user).
     """
-    order = [F.col(c).asc_nulls_last() for c in (ts, *tie)]
-    w = Window.partitionBy(user).orderBy(*order)
-    wm = Window.partitionBy(user, merchant).orderBy(*order)
-    prior = F.row_number().over(w) - 1
-    prior_m = F.row_number().over(wm) - 1
-    return txn.withColumn("merchant_frequency",
-                          F.when(prior == 0, F.lit(0.0)).otherwise(prior_m / prior))
+    order = [ts, *tie]
+    a = prior_scan(txn, user, order, chunk_rows=chunk_rows).withColumnRenamed("_prior_n", "_pu").drop("_prev_t")
+    a = a.withColumn("_um", F.struct(F.col(user).alias("u"), F.col(merchant).alias("m")))
+    b = prior_scan(a, "_um", order, chunk_rows=chunk_rows).withColumnRenamed("_prior_n", "_pm").drop("_prev_t", "_um")
+    freq = F.when(F.col("_pu") == 0, F.lit(0.0)).otherwise(F.col("_pm") / F.col("_pu"))
+    return b.withColumn("merchant_frequency", freq).drop("_pu", "_pm")
 
 
 def _mode(txn: DataFrame, user: str, col: str, out: str) -> DataFrame:

@@ -65,7 +65,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint), and later stages read it instead of recomputing the plan.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    ck = df.checkpoint(eager=True)
+    # fresh attribute ids: the checkpointed relation keeps the ids of the
+    # plan it came from, which may also appear in other branches
+    from pyspark.sql import functions as F
+
+    return ck.select(*[F.col(f"`{c}`").alias(c) for c in ck.columns])
 
 
 def table_dir(spark: SparkSession, name: str) -> str:

@@ -119,3 +119,15 @@ def test_prefix_property(spark):
     cut = lo + (hi - lo) / 2
     part = feat.feature_rows(txn.filter(F.col("ts") <= F.lit(cut)), A.EVENTS_TIE, keep=["row_id", "ts"])
     _compare(full.filter(F.col("ts") <= F.lit(cut)), part, ["row_id"])
+
+
+def test_online_history_hot_path_equals_plain(spark):
+    from riskspark.operators import baseline as bl
+
+    txn = A.events_txn(spark, SF001)
+    for fn, col in ((bl.velocity_1h, "velocity_1h"), (bl.merchant_frequency, "merchant_frequency")):
+        plain = fn(txn).select("row_id", col)
+        hot = fn(txn, chunk_rows=4).select("row_id", col)
+        _compare(plain, hot, ["row_id"])
+    plain = bl.seen_before(txn, {"seen": "merchant"}).select("row_id", "seen")
+    _compare(plain, bl.seen_before(txn, {"seen": "merchant"}, chunk_rows=3).select("row_id", "seen"), ["row_id"])
