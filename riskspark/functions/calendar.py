@@ -29,9 +29,17 @@ def _c(x: Column | str) -> Column:
 
 
 def parse_timestamp(s: Column | str, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """O-26: first format that parses wins; unparsable -> null."""
+    """O-26: first format that parses wins; unparsable -> null.  The result
+    is the wall-clock time as ``timestamp_ntz`` (independent of the session
+    time zone: parse and conversion back use the same zone)."""
     s = _c(s)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+
+
+def ntz_lit(dt) -> Column:
+    """A ``timestamp_ntz`` literal for a naive Python datetime, built from
+    its text so neither the Python nor the session time zone shifts it."""
+    return F.lit(dt.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def batch_calendar(ts: Column | str) -> list[Column]:

@@ -25,10 +25,6 @@ from riskspark.plans.prior import DEFAULT_CHUNK_ROWS, prior_scan
 HOUR_US = 3_600_000_000
 
 
-def _us(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
 def velocity_1h(txn: DataFrame, user: str = "account", ts: str = "ts",
                 tie: Sequence[str] = ("row_id",), chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """O-30: earlier rows of the user with ``ts >= this ts - 1 hour``.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskspark.functions.calendar import ntz_lit
+
 from riskspark import adapters as A
 from riskspark.operators import baseline as bl
 from riskspark.operators import decide as dc
@@ -25,7 +27,7 @@ FROM t LEFT JOIN lab ON {MAP_SQL} = lab.label""")
 def o50(spark, sf):
     t = A.events_txn(spark, sf)
     cut = bl.snapshot_cutoff(t)
-    train = t.filter((F.col("ts") < F.lit(cut)) & (F.col("payment_channel") != "login"))
+    train = t.filter((F.col("ts") < ntz_lit(cut)) & (F.col("payment_channel") != "login"))
     return dc.encode_labels(t, dc.fit_labels(train)).select("row_id", "payment_channel_code")
 
 

@@ -202,8 +202,8 @@ def o25(spark, sf):
 
 @register("o26_parse_timestamps", """
 SELECT row_id,
-       CAST(epoch(coalesce(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S'),
-                           try_strptime(ts_text, '%Y/%m/%d %H:%M'))) AS BIGINT) AS parsed_epoch,
+       coalesce(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S'),
+                try_strptime(ts_text, '%Y/%m/%d %H:%M')) AS parsed_ts,
        CAST(coalesce(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S'),
                      try_strptime(ts_text, '%Y/%m/%d %H:%M')) IS NULL AS BIGINT) AS parse_failed
 FROM (""" + A.RAW_TS_SQL + """) t""")
@@ -211,5 +211,5 @@ def o26(spark, sf):
     from riskspark.functions.calendar import parse_timestamp
     parsed = parse_timestamp("ts_text", ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm"))
     return A.raw_ts_text(spark, sf).select(
-        "row_id", F.unix_timestamp(parsed).alias("parsed_epoch"),
+        "row_id", parsed.alias("parsed_ts"),
         parsed.isNull().cast("bigint").alias("parse_failed"))

@@ -9,6 +9,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from riskspark.functions.calendar import ntz_lit
+
 from riskspark import adapters as A
 from riskspark.operators import baseline as bl
 from riskspark.operators import evaluate as ev
@@ -29,7 +31,7 @@ LIVE = f"lv AS (SELECT p.* FROM ({P}) p, cut WHERE p.created_at >= cut.c)"
 def _periods(spark, sf):
     p = A.predictions(spark, sf)
     cut = bl.snapshot_cutoff(A.events_txn(spark, sf))
-    return p, p.where(F.col("created_at") < F.lit(cut)), p.where(F.col("created_at") >= F.lit(cut))
+    return p, p.where(F.col("created_at") < ntz_lit(cut)), p.where(F.col("created_at") >= ntz_lit(cut))
 
 
 LIVE_STATS_SQL = f"""SELECT avg(t.amount) AS mean_amount, avg(p.fraud_probability) AS mean_fraud_probability,
@@ -229,7 +231,7 @@ SELECT {r6('sum((o - e) * (o - e) / e - e) + (SELECT n FROM n)', 'chi_square')},
 def o101b(spark, sf):
     p, _, _ = _periods(spark, sf)
     cut = bl.snapshot_cutoff(A.events_txn(spark, sf))
-    x = p.withColumn("period", F.when(F.col("created_at") < F.lit(cut), "train").otherwise("live"))
+    x = p.withColumn("period", F.when(F.col("created_at") < ntz_lit(cut), "train").otherwise("live"))
     return mo.chi_square(x, "period", "payment_channel")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark import adapters as A
-from riskspark.functions.calendar import online_calendar
+from riskspark.functions.calendar import online_calendar, ntz_lit
 from riskspark.functions.rules import flag_array, risk_flag_rules
 from riskspark.operators import baseline as bl
 from riskspark.plans.registry import r6, register
@@ -31,7 +31,7 @@ def _txn(spark, sf):
 def _split(spark, sf):
     t = _txn(spark, sf)
     cut = bl.snapshot_cutoff(t)
-    return t, t.filter(F.col("ts") < F.lit(cut)), t.filter(F.col("ts") >= F.lit(cut))
+    return t, t.filter(F.col("ts") < ntz_lit(cut)), t.filter(F.col("ts") >= ntz_lit(cut))
 
 
 def baseline_sql(src: str) -> str:
@@ -217,7 +217,7 @@ def _snapshot_frame(spark, sf):
     cut = bl.snapshot_cutoff(t)
     h = bl.velocity_1h(t)
     h = bl.seen_before(h, {"merchant_seen": "merchant", "location_seen": "location"})
-    h = bl.merchant_frequency(h).filter(F.col("ts") >= F.lit(cut))
+    h = bl.merchant_frequency(h).filter(F.col("ts") >= ntz_lit(cut))
     f = bl.lookup_baseline(h.withColumn("hour_of_day", F.hour("ts")), bl.user_baselines(old))
     return bl.change_flags(bl.baseline_deviation(f))
 

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from riskspark.functions.calendar import ntz_lit
+
 from riskspark import adapters as A
 from riskspark.operators import baseline as bl
 from riskspark.plans.q_features import CAL_SQL, EV_ORDER, TSLT_SQL, Z_SQL, _prior_sql
@@ -35,7 +37,7 @@ def _stage(df, path, ts="ts", slices=SLICES):
     span = (hi - lo) / slices
     for i in range(slices):
         a, b = lo + span * i, lo + span * (i + 1)
-        part = df.where((F.col(ts) >= F.lit(a)) & ((F.col(ts) < F.lit(b)) if i < slices - 1 else F.lit(True)))
+        part = df.where((F.col(ts) >= ntz_lit(a)) & ((F.col(ts) < ntz_lit(b)) if i < slices - 1 else F.lit(True)))
         part.coalesce(1).write.mode("append").parquet(path)
     return df.schema
 
@@ -95,7 +97,7 @@ def _messages(spark, sf, base):
     staged = (_event_json(spark, sf)
               .withColumn("transaction_id", F.get_json_object("value", "$.transaction_id"))
               .join(t, "transaction_id", "left")
-              .select("value", F.coalesce(F.col("ts"), F.lit(first)).alias("ts")))
+              .select("value", F.coalesce(F.col("ts"), ntz_lit(first)).alias("ts")))
     _stage(staged, f"{base}/in")
     return jobs.file_stream(spark, f"{base}/in", "value string, ts timestamp_ntz", max_files=1)
 
@@ -145,8 +147,8 @@ def o72(spark, sf):
     base = _fresh(spark, "enrich")
     t = A.scored_txn(spark, sf).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     cut = bl.snapshot_cutoff(t)
-    baselines = bl.user_baselines(t.where(F.col("ts") < F.lit(cut)))
-    schema = _stage(t.where(F.col("ts") >= F.lit(cut)), f"{base}/in")
+    baselines = bl.user_baselines(t.where(F.col("ts") < ntz_lit(cut)))
+    schema = _stage(t.where(F.col("ts") >= ntz_lit(cut)), f"{base}/in")
     s = jobs.file_stream(spark, f"{base}/in", schema, max_files=1)
     out = _run(jobs.enrich_stream(s, baselines), base)
     return out.select("row_id", "amount_deviation", "amount_z_score", "payment_method_changed",

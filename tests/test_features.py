@@ -6,6 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from riskspark.functions.calendar import ntz_lit
+
 from riskspark import adapters as A
 from riskspark.operators import features as feat
 from tests.conftest import SF001
@@ -117,8 +119,8 @@ def test_prefix_property(spark):
     full = feat.feature_rows(txn, A.EVENTS_TIE, keep=["row_id", "ts"])
     lo, hi = txn.agg(F.min("ts"), F.max("ts")).first()
     cut = lo + (hi - lo) / 2
-    part = feat.feature_rows(txn.filter(F.col("ts") <= F.lit(cut)), A.EVENTS_TIE, keep=["row_id", "ts"])
-    _compare(full.filter(F.col("ts") <= F.lit(cut)), part, ["row_id"])
+    part = feat.feature_rows(txn.filter(F.col("ts") <= ntz_lit(cut)), A.EVENTS_TIE, keep=["row_id", "ts"])
+    _compare(full.filter(F.col("ts") <= ntz_lit(cut)), part, ["row_id"])
 
 
 def test_online_history_hot_path_equals_plain(spark):
