@@ -56,22 +56,22 @@ FROM events
 def ship_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transfer per ``lineitem`` row: customer pays supplier.
 
-    Banks are nations and currencies are regions.  ``nation`` is a fixed
-    25-row dimension, so broadcasting it is size-safe; the other joins are
-    left to the planner (AQE turns them into broadcasts only when the
-    measured side is small).
+    Banks are nations and currencies are regions.  ``nation`` is a small
+    fixed dimension: it is broadcast after a row-count check; the other
+    joins are left to the planner (AQE turns them into broadcasts only when
+    the measured side is small).
     """
+    from riskspark.session import broadcast_if_small
+
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         "l_extendedprice", "l_shipdate", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    cn = F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"),
-                                   F.col("n_regionkey").alias("payment_currency")))
-    sn = F.broadcast(nation.select(F.col("n_nationkey").alias("s_nationkey"),
-                                   F.col("n_regionkey").alias("receiving_currency")))
+    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), 10_000)
+    cn = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("payment_currency"))
+    sn = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("receiving_currency"))
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(c, F.col("o_custkey") == c.c_custkey)
          .join(s, F.col("l_suppkey") == s.s_suppkey)

@@ -66,14 +66,22 @@ def seen_before(txn: DataFrame, cols: dict[str, str], user: str = "account", ts:
 
 def exists_lookup(probes: DataFrame, history: DataFrame, keys: Sequence[str],
                   out: str = "seen") -> DataFrame:
-    """O-31 ad hoc: flag probes whose ``keys`` exist in ``history``.
+    """O-31 ad hoc: flag probes whose ``keys`` exist in ``history``
+    (EXISTS as a column).  The history side is reduced to its distinct keys
+    (map-side) before one left join; ``existing`` / ``missing`` give the
+    semi- and anti-join forms."""
+    hk = history.select(*keys).distinct().withColumn(out, F.lit(True))
+    return probes.join(hk, list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
-    Expressed as a semi join plus an anti join (EXISTS / NOT EXISTS) so
-    the history side is reduced to its distinct keys before the shuffle.
-    """
-    hk = history.select(*keys).distinct()
-    return (probes.join(hk, list(keys), "left_semi").withColumn(out, F.lit(True))
-            .unionByName(probes.join(hk, list(keys), "left_anti").withColumn(out, F.lit(False))))
+
+def existing(probes: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Probes with a match in ``history`` (left semi join, EXISTS)."""
+    return probes.join(history.select(*keys), list(keys), "left_semi")
+
+
+def missing(probes: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Probes without a match in ``history`` (left anti join, NOT EXISTS)."""
+    return probes.join(history.select(*keys), list(keys), "left_anti")
 
 
 def merchant_frequency(txn: DataFrame, user: str = "account", merchant: str = "merchant",

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.session import broadcast_if_small
 from riskspark.functions.rules import (BLOCK_THRESHOLD, REVIEW_THRESHOLD, channel_mapped,
                                        decision, reason_codes)
 
@@ -32,8 +33,7 @@ def encode_labels(df: DataFrame, labels: DataFrame, col: str = "payment_channel"
                   out: str = "payment_channel_code", mapped: bool = True) -> DataFrame:
     """O-50: map a request channel to the training name, then to its code;
     unseen values -> 0."""
-    n = labels.count()
-    lab = F.broadcast(labels) if n <= MAX_LABELS else labels
+    lab = broadcast_if_small(labels, MAX_LABELS)
     key = channel_mapped(col) if mapped else F.col(col)
     j = df.withColumn("_label", key).join(lab.withColumnRenamed("label", "_label"), "_label", "left")
     return j.withColumn(out, F.coalesce(F.col("code"), F.lit(0)).cast("int")).drop("_label", "code")

@@ -77,3 +77,11 @@ def table_dir(spark: SparkSession, name: str) -> str:
     """A folder for a written intermediate table under the checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint only after checking the row count (one small action);
+    larger tables are left to the planner's own size checks."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -133,3 +133,14 @@ def test_online_history_hot_path_equals_plain(spark):
         _compare(plain, hot, ["row_id"])
     plain = bl.seen_before(txn, {"seen": "merchant"}).select("row_id", "seen")
     _compare(plain, bl.seen_before(txn, {"seen": "merchant"}, chunk_rows=3).select("row_id", "seen"), ["row_id"])
+
+
+def test_cold_feature_plan_is_one_exchange_with_pruned_scan(spark):
+    """No hot account: the 16-column row is one hash exchange on the account
+    (all window specs share it) over a column-pruned scan."""
+    df = feat.feature_rows(A.events_txn(spark, SF001), A.EVENTS_TIE, keep=A.EVENTS_TIE)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "hashpartitioning(user_id" in plan or "hashpartitioning(account" in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double,props:string>" \
+        in df._jdf.queryExecution().executedPlan().treeString() or "FileScan parquet" in plan

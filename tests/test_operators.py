@@ -220,3 +220,15 @@ def test_range_rule_twin_has_same_codes(spark):
 
     codes = [c for c, _ in feature_range_rules()]
     assert [part.split("'")[1] for part in RANGE_RULE_SQL.split(" UNION ALL ")] == codes
+
+
+def test_exists_semi_anti_agree(spark):
+    t = A.events_txn(spark, SF001)
+    cut = t.agg(F.expr("percentile_disc(0.7) WITHIN GROUP (ORDER BY row_id)")).first()[0]
+    old, new = t.where(F.col("row_id") < cut), t.where(F.col("row_id") >= cut)
+    flagged = bl.exists_lookup(new.select("row_id", "account", "merchant"), old, ["account", "merchant"])
+    yes = {r.row_id for r in bl.existing(new, old, ["account", "merchant"]).collect()}
+    no = {r.row_id for r in bl.missing(new, old, ["account", "merchant"]).collect()}
+    got = {r.row_id: r.seen for r in flagged.collect()}
+    assert yes | no == set(got) and not (yes & no)
+    assert all(got[i] for i in yes) and not any(got[i] for i in no)
