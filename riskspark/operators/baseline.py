@@ -86,15 +86,21 @@ def missing(probes: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataF
 
 def merchant_frequency(txn: DataFrame, user: str = "account", merchant: str = "merchant",
                        ts: str = "ts", tie: Sequence[str] = ("row_id",),
-                       chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                       chunk_rows: int = DEFAULT_CHUNK_ROWS, seen: dict[str, str] | None = None) -> DataFrame:
     """O-32: earlier rows with this merchant / earlier rows (0 if none).
 
     Two skew-safe prefix counts: per user and per (user, merchant) (a hot
-    pair is chunked like a hot user).
+    pair is chunked like a hot user).  ``seen`` ({out: column}) adds O-31
+    seen-before flags from the same per-user scan (no extra shuffle).
     """
     order = [ts, *tie]
-    a = prior_scan(txn, user, order, chunk_rows=chunk_rows).withColumnRenamed("_prior_n", "_pu").drop("_prev_t")
-    a = a.withColumn("_um", F.struct(F.col(user).alias("u"), F.col(merchant).alias("m")))
+    seen = seen or {}
+    firsts = list(dict.fromkeys(seen.values()))
+    a = prior_scan(txn, user, order, firsts=firsts, chunk_rows=chunk_rows)
+    for out, c in seen.items():
+        a = a.withColumn(out, ~F.col(f"_first_{c}"))
+    a = (a.drop(*[f"_first_{c}" for c in firsts], "_prev_t").withColumnRenamed("_prior_n", "_pu")
+         .withColumn("_um", F.struct(F.col(user).alias("u"), F.col(merchant).alias("m"))))
     b = prior_scan(a, "_um", order, chunk_rows=chunk_rows).withColumnRenamed("_prior_n", "_pm").drop("_prev_t", "_um")
     freq = F.when(F.col("_pu") == 0, F.lit(0.0)).otherwise(F.col("_pm") / F.col("_pu"))
     return b.withColumn("merchant_frequency", freq).drop("_pu", "_pm")
@@ -244,8 +250,7 @@ def online_features(txn: DataFrame, baselines: DataFrame, history: DataFrame | N
     if device:
         seen["new_device"] = device
     h = velocity_1h(hist, user, ts, tie)
-    h = seen_before(h, {f"_{k}": v for k, v in seen.items()}, user, ts, tie)
-    h = merchant_frequency(h, user, "merchant", ts, tie)
+    h = merchant_frequency(h, user, "merchant", ts, tie, seen={f"_{k}": v for k, v in seen.items()})
     for k in seen:
         h = h.withColumn(k, ~F.col(f"_{k}")).drop(f"_{k}")
     if not device:
