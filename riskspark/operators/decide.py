@@ -73,7 +73,7 @@ def prediction_records(df: DataFrame, model_version: str = "2.0.0") -> DataFrame
         "created_at")
 
 
-def anomaly_records(df: DataFrame, model_name: str = "xgboost", model_version: str = "2.0.0") -> DataFrame:
+def anomaly_records(df: DataFrame, model_name: str = "gbt", model_version: str = "2.0.0") -> DataFrame:
     """O-56 (second sink): anomaly log row with the score as DECIMAL(5,4)."""
     return df.select(
         "transaction_id",

@@ -95,7 +95,7 @@ def o56(spark, sf):
 
 @register("o56_anomaly_records", f"""
 SELECT transaction_id, {r6('fraud_probability', 'anomaly_score')}, decision AS anomaly_type,
-       'xgboost' AS model_name, '2.0.0' AS model_version, array_to_string(risk_flags, ',') AS explanation,
+       'gbt' AS model_name, '2.0.0' AS model_version, array_to_string(risk_flags, ',') AS explanation,
        created_at AS detected_at FROM ({P}) p""")
 def o56b(spark, sf):
     return dc.anomaly_records(A.predictions(spark, sf))
@@ -129,5 +129,5 @@ def o58(spark, sf):
 @register("o60_model_assignment")
 def o60(spark, sf):
     p = A.predictions(spark, sf)
-    return dc.assign_model(p, "transaction_id", {"xgboost_v2": 90, "xgboost_v3": 10},
-                           "xgboost_v2").select("transaction_id", "model_id")
+    return dc.assign_model(p, "transaction_id", {"model_v2": 90, "model_v3": 10},
+                           "model_v2").select("transaction_id", "model_id")
