@@ -184,3 +184,42 @@ def o08(spark, sf):
     files.publish(A.predictions(spark, sf).drop("risk_flags"), "user_id", "transactions.raw", f"{base}/bus")
     s = files.read_topic_stream(spark, "transactions.raw", f"{base}/bus", max_files=1)
     return _run(s, base)
+
+
+def _anchored_sql(key_expr: str, seconds: int, limit: int, out: str) -> str:
+    """DuckDB twin: positions, next-anchor index, recursive anchor chain."""
+    us = seconds * 1_000_000
+    return f"""WITH RECURSIVE t AS (SELECT row_id, {key_expr} AS k, ts FROM ({E}) e),
+r AS (SELECT k, row_id, ts, row_number() OVER (PARTITION BY k ORDER BY ts, row_id) - 1 AS p,
+             count(*) OVER (PARTITION BY k) AS size FROM t),
+nx AS (SELECT a.k, a.p, count(b.row_id) AS n, a.size FROM r a LEFT JOIN r b
+         ON a.k = b.k AND b.ts < a.ts + to_microseconds({us}) GROUP BY a.k, a.p, a.size),
+chain(k, p) AS (SELECT k, p FROM r WHERE p = 0
+                UNION ALL SELECT c.k, nx.n FROM chain c JOIN nx ON nx.k = c.k AND nx.p = c.p WHERE nx.n < nx.size),
+w AS (SELECT r.k, r.row_id, r.p, max(c.p) AS ap FROM r JOIN chain c ON c.k = r.k AND c.p <= r.p
+      GROUP BY r.k, r.row_id, r.p)
+SELECT w.row_id, w.k AS {out}, a.ts AS window_start, w.p - w.ap + 1 AS count_in_window,
+       w.p - w.ap + 1 <= {limit} AS allowed
+FROM w JOIN r a ON a.k = w.k AND a.p = w.ap"""
+
+
+@register("o73_rate_limit_batch", _anchored_sql("account", 60, 100, "account"))
+def o73b(spark, sf):
+    """Batch form, reference constants: 100 requests per key per 60 s."""
+    from riskspark.operators.windows import anchored_windows
+
+    r = A.events_txn(spark, sf).select("row_id", "account", "ts")
+    return anchored_windows(r, "account", "ts", ["row_id"], 60, 100).select(
+        "row_id", "account", "window_start", "count_in_window", "allowed")
+
+
+@register("o59_idempotency_batch", _anchored_sql("CAST(account AS VARCHAR) || ':' || merchant", 86400, 1,
+                                                 "idempotency_key"))
+def o59b(spark, sf):
+    """Batch form: first call per (user, merchant) key wins for 24 h."""
+    from riskspark.operators.windows import anchored_windows
+
+    r = A.events_txn(spark, sf).select(
+        "row_id", F.concat_ws(":", "account", "merchant").alias("idempotency_key"), "ts")
+    return anchored_windows(r, "idempotency_key", "ts", ["row_id"], 86400, 1).select(
+        "row_id", "idempotency_key", "window_start", "count_in_window", "allowed")

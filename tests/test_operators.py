@@ -232,3 +232,23 @@ def test_exists_semi_anti_agree(spark):
     got = {r.row_id: r.seen for r in flagged.collect()}
     assert yes | no == set(got) and not (yes & no)
     assert all(got[i] for i in yes) and not any(got[i] for i in no)
+
+
+@pytest.mark.parametrize("chunk_rows", [10 ** 9, 7])
+def test_batch_anchored_windows_match_brute_force(spark, chunk_rows):
+    from datetime import datetime, timedelta
+
+    from riskspark.operators.windows import anchored_windows
+
+    rng = np.random.default_rng(21)
+    base = datetime(2024, 1, 1)
+    rows = [(i, f"K{int(rng.integers(0, 3))}", base + timedelta(seconds=int(rng.integers(0, 900))))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, k string, ts timestamp_ntz")
+    got = {r.row_id: (r.window_start, r.count_in_window, r.allowed)
+           for r in anchored_windows(df, "k", "ts", ["row_id"], 60, 3, chunk_rows=chunk_rows).collect()}
+    for key in {r[1] for r in rows}:
+        mine = sorted([r for r in rows if r[1] == key], key=lambda r: (r[2], r[0]))
+        exp = _anchored_brute([r[2] for r in mine], timedelta(seconds=60), 3)
+        for r, (start, count, ok) in zip(mine, exp):
+            assert got[r[0]] == (start, count, ok), (key, r)
