@@ -7,7 +7,7 @@ before it is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.session import broadcast_if_small
@@ -21,12 +21,15 @@ MAX_RETRIES = 3
 def fit_labels(train: DataFrame, col: str = "payment_channel", mapped: bool = True) -> DataFrame:
     """O-121/O-50: alphabetical label codes 0..k-1 of the distinct values.
 
-    The distinct step is a pre-aggregated ``groupBy``; ranking the (small)
-    distinct set is a window over one partition of at most k rows.
+    The distinct step is a pre-aggregated ``groupBy``; codes are exact
+    positions in label order (balanced range partitions, no one-task window,
+    whatever the number of distinct labels).
     """
+    from riskspark.plans.rank import positions
+
     v = channel_mapped(col) if mapped else F.col(col)
     d = train.select(v.alias("label")).where(F.col("label").isNotNull()).distinct()
-    return d.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("code"))
+    return positions(d, ["label"], out="code", sizes=False)
 
 
 def encode_labels(df: DataFrame, labels: DataFrame, col: str = "payment_channel",

@@ -35,8 +35,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """O-142: counts and normalised counts of each value."""
+    total = df.count()  # one scalar; no window over the (possibly many) values
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return c.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    return c.withColumn("share", F.col("count") / F.lit(float(total)))
 
 
 def grouped_describe(df: DataFrame, group: str, col: str, tie: Sequence[str],
