@@ -17,7 +17,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.calendar import online_calendar
+from riskspark.functions.calendar import online_calendar, seconds_between
 from riskspark.functions.numeric import exact_mean, round_half_away
 from riskspark.functions.rules import flag_array, risk_flag_rules
 from riskspark.plans.prior import DEFAULT_CHUNK_ROWS, prior_scan
@@ -86,12 +86,14 @@ def missing(probes: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataF
 
 def merchant_frequency(txn: DataFrame, user: str = "account", merchant: str = "merchant",
                        ts: str = "ts", tie: Sequence[str] = ("row_id",),
-                       chunk_rows: int = DEFAULT_CHUNK_ROWS, seen: dict[str, str] | None = None) -> DataFrame:
+                       chunk_rows: int = DEFAULT_CHUNK_ROWS, seen: dict[str, str] | None = None,
+                       keep_prev: bool = False) -> DataFrame:
     """O-32: earlier rows with this merchant / earlier rows (0 if none).
 
     Two skew-safe prefix counts: per user and per (user, merchant) (a hot
     pair is chunked like a hot user).  ``seen`` ({out: column}) adds O-31
-    seen-before flags from the same per-user scan (no extra shuffle).
+    seen-before flags from the same per-user scan (no extra shuffle);
+    ``keep_prev`` keeps the user's previous timestamp as ``_prev_ts``.
     """
     order = [ts, *tie]
     seen = seen or {}
@@ -99,7 +101,8 @@ def merchant_frequency(txn: DataFrame, user: str = "account", merchant: str = "m
     a = prior_scan(txn, user, order, firsts=firsts, chunk_rows=chunk_rows)
     for out, c in seen.items():
         a = a.withColumn(out, ~F.col(f"_first_{c}"))
-    a = (a.drop(*[f"_first_{c}" for c in firsts], "_prev_t").withColumnRenamed("_prior_n", "_pu")
+    a = a.withColumnRenamed("_prev_t", "_prev_ts") if keep_prev else a.drop("_prev_t")
+    a = (a.drop(*[f"_first_{c}" for c in firsts]).withColumnRenamed("_prior_n", "_pu")
          .withColumn("_um", F.struct(F.col(user).alias("u"), F.col(merchant).alias("m"))))
     b = prior_scan(a, "_um", order, chunk_rows=chunk_rows).withColumnRenamed("_prior_n", "_pm").drop("_prev_t", "_um")
     freq = F.when(F.col("_pu") == 0, F.lit(0.0)).otherwise(F.col("_pm") / F.col("_pu"))
@@ -238,19 +241,25 @@ def change_flags(df: DataFrame, method: str = "payment_channel", location: str =
 
 def online_features(txn: DataFrame, baselines: DataFrame, history: DataFrame | None = None,
                     user: str = "account", ts: str = "ts", tie: Sequence[str] = ("row_id",),
-                    device: str | None = None) -> DataFrame:
+                    device: str | None = None, with_gap: bool = False) -> DataFrame:
     """O-45: the online feature vector, using only pre-transaction state.
 
     ``baselines`` is the snapshot taken before these transactions;
     ``history`` (default: ``txn`` itself) supplies the past-only counters
     (velocity_1h, merchant/device/location seen before, merchant frequency).
+    The reference always sends a 0 gap online; ``with_gap`` fills
+    ``time_since_last_transaction`` with the O-12 value instead.
     """
     hist = history if history is not None else txn
     seen = {"new_merchant": "merchant", "new_location": "location"}
     if device:
         seen["new_device"] = device
     h = velocity_1h(hist, user, ts, tie)
-    h = merchant_frequency(h, user, "merchant", ts, tie, seen={f"_{k}": v for k, v in seen.items()})
+    h = merchant_frequency(h, user, "merchant", ts, tie, seen={f"_{k}": v for k, v in seen.items()},
+                           keep_prev=with_gap)
+    gap = (F.coalesce(F.greatest(F.lit(0.0), seconds_between(F.col("_prev_ts"), F.col(ts))), F.lit(0.0))
+           if with_gap else F.lit(0.0))
+    h = h.withColumn("_gap", gap)
     for k in seen:
         h = h.withColumn(k, ~F.col(f"_{k}")).drop(f"_{k}")
     if not device:
@@ -267,7 +276,7 @@ def online_features(txn: DataFrame, baselines: DataFrame, history: DataFrame | N
         "new_merchant", "new_device", "new_location", "payment_method_changed",
         "outside_usual_city", "merchant_frequency",
         F.lit(0.0).alias("device_trust_score"), F.lit(0.0).alias("merchant_trust_score"),
-        F.lit(0.0).alias("location_risk_score"), F.lit(0.0).alias("time_since_last_transaction"),
+        F.lit(0.0).alias("location_risk_score"), F.col("_gap").alias("time_since_last_transaction"),
         "risk_flags")
 
 

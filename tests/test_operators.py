@@ -252,3 +252,20 @@ def test_batch_anchored_windows_match_brute_force(spark, chunk_rows):
         exp = _anchored_brute([r[2] for r in mine], timedelta(seconds=60), 3)
         for r, (start, count, ok) in zip(mine, exp):
             assert got[r[0]] == (start, count, ok), (key, r)
+
+
+def test_online_gap_option(spark):
+    from riskspark.operators import features as feat
+
+    t = A.events_txn(spark, SF001)
+    cut = bl.snapshot_cutoff(t)
+    from riskspark.functions.calendar import ntz_lit
+
+    old, new = t.where(F.col("ts") < ntz_lit(cut)), t.where(F.col("ts") >= ntz_lit(cut))
+    base = bl.user_baselines(old)
+    off = bl.online_features(new, base, history=t).select("row_id", "time_since_last_transaction")
+    on = bl.online_features(new, base, history=t, with_gap=True).select("row_id", "time_since_last_transaction")
+    assert {r[1] for r in off.collect()} == {0.0}
+    gaps = {r.row_id: r.time_since_last_transaction for r in feat.time_since_last(t, A.EVENTS_TIE).collect()}
+    for r in on.collect():
+        assert r.time_since_last_transaction == pytest.approx(gaps[r.row_id])
