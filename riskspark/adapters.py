@@ -47,7 +47,7 @@ SELECT event_id AS row_id, user_id AS account, ts, value AS amount,
        CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS location,
        CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS to_bank,
        user_id % 10 AS from_bank,
-       CAST(event_type = 'error' AS INTEGER) AS is_fraud,
+       CAST(event_type = 'error' AS BIGINT) AS is_fraud,
        'PENDING' AS status
 FROM events
 """
@@ -92,12 +92,12 @@ def ship_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHIP_TXN_SQL = """
-SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
+SELECT l.l_orderkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber, l.l_partkey, l.l_suppkey,
        o.o_custkey AS account, l.l_suppkey AS receiver, l.l_shipdate AS ts,
        l.l_extendedprice AS amount, c.c_nationkey AS from_bank,
        s.s_nationkey AS to_bank, cn.n_regionkey AS payment_currency,
        sn.n_regionkey AS receiving_currency, o.o_orderpriority AS payment_channel,
-       CAST(l.l_returnflag = 'R' AS INTEGER) AS is_fraud
+       CAST(l.l_returnflag = 'R' AS BIGINT) AS is_fraud
 FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey
@@ -158,7 +158,7 @@ SELECT CAST(row_id AS VARCHAR) AS transaction_id, CAST(account AS VARCHAR) AS us
        fraud_probability >= 0.5 AS prediction,
        CASE WHEN fraud_probability >= 0.7 THEN 'BLOCK'
             WHEN fraud_probability >= 0.3 THEN 'REVIEW' ELSE 'ALLOW' END AS decision,
-       0.5 AS threshold, 'v2' AS model_version, ts AS created_at,
+       CAST(0.5 AS DOUBLE) AS threshold, 'v2' AS model_version, ts AS created_at,
        amount, payment_channel, location, status, is_fraud,
        list_filter([CASE WHEN amount >= 50 THEN 'AMOUNT_OUTLIER' END,
                     CASE WHEN location = 0 THEN 'NEW_LOCATION' END], lambda x: x IS NOT NULL) AS risk_flags

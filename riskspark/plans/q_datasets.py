@@ -77,10 +77,10 @@ def o113(spark, sf):
 
 @register("o113_file_validation", f"""WITH {FR},
 g AS (SELECT is_fraud, count(*) AS c FROM fr GROUP BY ALL)
-SELECT sum(c) AS rows, sum(c) FILTER (WHERE is_fraud = 1) AS positives,
-       sum(c) FILTER (WHERE is_fraud = 0) AS negatives,
+SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c) FILTER (WHERE is_fraud = 1) AS BIGINT) AS positives,
+       CAST(sum(c) FILTER (WHERE is_fraud = 0) AS BIGINT) AS negatives,
        {r6('sum(c) FILTER (WHERE is_fraud = 1) / sum(c)', 'positive_ratio')},
-       sum(c - 1) AS duplicates, {r6('sum(c - 1) * 100.0 / sum(c)', 'duplicate_pct')}
+       CAST(sum(c - 1) AS BIGINT) AS duplicates, {r6('sum(c - 1) * 100.0 / sum(c)', 'duplicate_pct')}
 FROM (SELECT {', '.join(feat.FEATURE_COLUMNS)}, count(*) AS c FROM fr GROUP BY ALL) x""")
 def o113b(spark, sf):
     return va.dataset_report(_features(spark, sf).select(*feat.FEATURE_COLUMNS), "is_fraud")
@@ -137,7 +137,7 @@ def o140(spark, sf):
 
 
 @register("o141_duplicate_rows", f"""WITH {FR}
-SELECT sum(c) AS rows, sum(c - 1) AS duplicates, {r6('sum(c - 1) * 100.0 / sum(c)', 'duplicate_pct')}
+SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c - 1) AS BIGINT) AS duplicates, {r6('sum(c - 1) * 100.0 / sum(c)', 'duplicate_pct')}
 FROM (SELECT {', '.join(feat.FEATURE_COLUMNS)}, count(*) AS c FROM fr GROUP BY ALL) x""")
 def o141(spark, sf):
     return pf.duplicate_rows(_features(spark, sf).select(*feat.FEATURE_COLUMNS))
@@ -160,7 +160,7 @@ def o143(spark, sf):
 
 
 @register("o144_fraud_by_channel", f"""WITH {FR}
-SELECT payment_channel, count(*) AS count, sum(is_fraud) AS fraud, {r6('sum(is_fraud) / count(*)', 'fraud_rate')}
+SELECT payment_channel, count(*) AS count, CAST(sum(is_fraud) AS BIGINT) AS fraud, {r6('sum(is_fraud) / count(*)', 'fraud_rate')}
 FROM fr GROUP BY payment_channel ORDER BY fraud_rate DESC""")
 def o144(spark, sf):
     return pf.fraud_by_channel(_features(spark, sf))
@@ -215,7 +215,7 @@ def o148b(spark, sf):
 
 @register("o149_overview", f"""WITH {FR}
 SELECT count(*) AS rows, count(*) FILTER (WHERE is_fraud = 1) AS fraud, count(*) FILTER (WHERE is_fraud = 0) AS legit,
-       {r6('count(*) FILTER (WHERE is_fraud = 1) / count(*)', 'fraud_ratio')}, 15 AS features FROM fr""")
+       {r6('count(*) FILTER (WHERE is_fraud = 1) / count(*)', 'fraud_ratio')}, CAST(15 AS BIGINT) AS features FROM fr""")
 def o149(spark, sf):
     return pf.overview(_features(spark, sf).select(*feat.FEATURE_COLUMNS), "is_fraud")
 

@@ -41,7 +41,7 @@ RAW = f"SELECT *, {A.RAW_SCORE_SQL} AS raw_probability FROM ({E}) t"
 @register("o52_score_outputs", f"""
 SELECT row_id, round(raw_probability, 4) AS fraud_probability,
        round(greatest(raw_probability, 1 - raw_probability), 4) AS confidence,
-       raw_probability >= 0.5 AS prediction, 0.5 AS threshold FROM ({RAW}) r""")
+       raw_probability >= 0.5 AS prediction, CAST(0.5 AS DOUBLE) AS threshold FROM ({RAW}) r""")
 def o52(spark, sf):
     return dc.score_outputs(_raw(spark, sf)).select(
         "row_id", "fraud_probability", "confidence", "prediction", "threshold")
@@ -86,7 +86,7 @@ def o55(spark, sf):
 
 @register("o56_prediction_records", f"""
 SELECT transaction_id, user_id, {r6('fraud_probability', 'fraud_probability')},
-       {r6('confidence', 'confidence')}, prediction, decision, 0.5 AS threshold,
+       {r6('confidence', 'confidence')}, prediction, decision, CAST(0.5 AS DOUBLE) AS threshold,
        '2.0.0' AS model_version, array_to_string(risk_flags, '|') AS risk_flags, created_at FROM ({P}) p""")
 def o56(spark, sf):
     r = dc.prediction_records(A.predictions(spark, sf))

@@ -149,7 +149,7 @@ d AS (SELECT *, NOT (max(CASE WHEN cand THEN f1_score END) OVER ()
                 AS promoted FROM reg)
 SELECT model_id, CASE WHEN promoted THEN CASE WHEN cand THEN 'ACTIVE' ELSE 'INACTIVE' END ELSE status END AS status,
        {r6('f1_score', 'f1_score')},
-       CASE WHEN promoted AND cand THEN 100 WHEN promoted THEN 0 END AS traffic, promoted
+       CAST(CASE WHEN promoted AND cand THEN 100 WHEN promoted THEN 0 END AS BIGINT) AS traffic, promoted
 FROM d WHERE promoted OR NOT cand""")
 def o98(spark, sf):
     s = A.eval_scored(spark, sf)

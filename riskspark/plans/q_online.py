@@ -267,8 +267,8 @@ SELECT row_id, account AS user_id, round(CAST(amount AS DOUBLE), 6) AS amount,
   NOT has_baseline AS is_first_transaction, NOT merchant_seen AS new_merchant, false AS new_device,
   NOT location_seen AS new_location, payment_method_changed, outside_usual_city,
   {r6('merchant_frequency', 'merchant_frequency')},
-  0.0 AS device_trust_score, 0.0 AS merchant_trust_score, 0.0 AS location_risk_score,
-  0.0 AS time_since_last_transaction, {FLAGS_SQL} AS risk_flags
+  CAST(0.0 AS DOUBLE) AS device_trust_score, CAST(0.0 AS DOUBLE) AS merchant_trust_score,
+  CAST(0.0 AS DOUBLE) AS location_risk_score, CAST(0.0 AS DOUBLE) AS time_since_last_transaction, {FLAGS_SQL} AS risk_flags
 FROM g"""
 
 
@@ -285,13 +285,13 @@ def o45(spark, sf):
 
 @register("o46_model_input", SNAP + f"""
 SELECT row_id, round(CAST(amount AS DOUBLE), 6) AS amount, payment_channel,
-  0.0 AS time_since_last_transaction, CAST(velocity_1h AS DOUBLE) AS velocity_score,
+  CAST(0.0 AS DOUBLE) AS time_since_last_transaction, CAST(velocity_1h AS DOUBLE) AS velocity_score,
   {r6('amount_z_score', 'spending_deviation_score')},
   CAST(NOT has_baseline AS BIGINT) AS is_first_transaction, hour_of_day AS hour,
   CAST(dayofweek(ts) AS BIGINT) AS day_of_week, month(ts) AS month,
   CAST(dayofweek(ts) IN (0, 6) AS BIGINT) AS is_weekend,
-  0 AS is_cross_bank_transfer, 0 AS is_cross_currency_transfer,
-  CAST(NOT merchant_seen AS BIGINT) AS is_new_receiver, 0 AS is_new_bank,
+  CAST(0 AS BIGINT) AS is_cross_bank_transfer, CAST(0 AS BIGINT) AS is_cross_currency_transfer,
+  CAST(NOT merchant_seen AS BIGINT) AS is_new_receiver, CAST(0 AS BIGINT) AS is_new_bank,
   CAST(payment_method_changed AS BIGINT) AS is_new_payment_format
 FROM g""")
 def o46(spark, sf):

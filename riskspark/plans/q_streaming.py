@@ -51,7 +51,7 @@ EVENT_FEATURE_SQL = _prior_sql(E, EV_ORDER, ("receiver", "to_bank", "payment_cha
 SELECT row_id, round(amount, 6) AS amount, payment_channel, {r6(TSLT_SQL, 'time_since_last_transaction')},
        prior_n AS velocity_score, {r6(Z_SQL, 'spending_deviation_score')},
        CAST(prior_n = 0 AS BIGINT) AS is_first_transaction, {CAL_SQL}, CAST(is_fraud AS BIGINT) AS is_fraud,
-       CAST(from_bank <> to_bank AS BIGINT) AS is_cross_bank_transfer, 0 AS is_cross_currency_transfer,
+       CAST(from_bank <> to_bank AS BIGINT) AS is_cross_bank_transfer, CAST(0 AS BIGINT) AS is_cross_currency_transfer,
        CAST(rn_receiver = 1 AS BIGINT) AS is_new_receiver, CAST(rn_to_bank = 1 AS BIGINT) AS is_new_bank,
        CAST(rn_payment_channel = 1 AS BIGINT) AS is_new_payment_format
 FROM s"""
@@ -70,7 +70,7 @@ def o70(spark, sf):
 
 
 @register("o74_drift_accumulators", f"""WITH f AS ({EVENT_FEATURE_SQL})
-SELECT payment_channel, count(*) AS n, round(sum(amount), 6) AS sum_amount, sum(velocity_score) AS sum_velocity,
+SELECT payment_channel, count(*) AS n, round(sum(amount), 6) AS sum_amount, CAST(sum(velocity_score) AS BIGINT) AS sum_velocity,
        round(sum(spending_deviation_score), 6) AS sum_deviation FROM f GROUP BY payment_channel""")
 def o74(spark, sf):
     base = _fresh(spark, "drift")
