@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as se
 from tests.conftest import SF001
 from tools.check_oracle import TABLES, rows_of
+from tools.check_types import SPARK_TO_DUCK
 
 ORACLE = se.oracle_sql()
 QUERIES = se.queries()
@@ -35,6 +36,8 @@ def test_query_matches_oracle(spark, con, name):
     res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == dtypes
     assert got == rows_of(dcols, res.fetchall())
 
 
