@@ -25,6 +25,9 @@ def register(name: str, sql: str | None = None):
 
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from riskspark.session import ship_package
+
+            ship_package(spark)  # workers import riskspark (UDFs, stream state)
             return tidy(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__

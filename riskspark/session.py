@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, app: str = "riskspark",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -85,3 +86,37 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskspark`` importable by Python workers (pandas UDFs,
+    ``mapInPandas``, streaming state processors) with ``addPyFile``.
+
+    The package is zipped once per SparkContext into the checkpoint folder
+    when that is a local path (else into a driver-side build folder); Spark
+    then serves the archive to every executor, and driver-side Python
+    runners get it through the context's PYTHONPATH.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_riskspark_shipped", False):
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    target = local if local.startswith("/") else tempfile.mkdtemp(prefix="riskspark-pkg-")
+    os.makedirs(target, exist_ok=True)
+    path = os.path.join(target, "riskspark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    # Python processes started by the JVM on the driver (the streaming
+    # state pre-init runner) take PYTHONPATH from the context environment
+    prev = sc.environment.get("PYTHONPATH", "")
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (path, prev) if p)
+    sc._riskspark_shipped = True
