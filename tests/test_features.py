@@ -144,3 +144,20 @@ def test_cold_feature_plan_is_one_exchange_with_pruned_scan(spark):
     assert "hashpartitioning(user_id" in plan or "hashpartitioning(account" in plan
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double,props:string>" \
         in df._jdf.queryExecution().executedPlan().treeString() or "FileScan parquet" in plan
+
+
+def test_hot_key_cap_raises_threshold_and_keeps_results(spark):
+    """More than max_hot_keys accounts above chunk_rows: the threshold rises
+    to total / max_hot_keys, the dominant account stays hot, results equal."""
+    from riskspark.plans.prior import hot_keys, prior_scan
+
+    base = A.events_txn(spark, SF001)
+    # skewed fixture: one account holds about 80 % of the rows
+    txn = base.withColumn("account", F.when(F.col("row_id") % 5 != 0, F.lit(-1)).otherwise(F.col("account")))
+    table, chunks = hot_keys(txn, "account", chunk_rows=2, max_hot_keys=3)
+    assert table is not None and [r[0] for r in table.collect()] == [-1] and chunks > 100
+    plain = prior_scan(txn, "account", ["ts", "row_id"], value="amount", firsts=["receiver"])
+    capped = prior_scan(txn, "account", ["ts", "row_id"], value="amount", firsts=["receiver"],
+                        chunk_rows=2, max_hot_keys=3)
+    cols = ["row_id", "_prior_n", "_prior_nv", "_prior_mean", "_prior_m2", "_first_receiver"]
+    _compare(plain.select(*cols), capped.select(*cols), ["row_id"])
