@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from riskspark.llm.bpe import op6_bpe_encode
+from riskspark.llm.substrings import op1_substring_dedup
 from riskspark.llm.urls import op10_url_filter
+from riskspark.llm.winnow import op3_winnow
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_winnow": op3_winnow,
     "op6_bpe_encode": op6_bpe_encode,
     "op10_url_filter": op10_url_filter,
 }
