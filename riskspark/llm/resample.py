@@ -1,21 +1,26 @@
 """Quality classifier by importance resampling.
 
 Two generative bag-of-n-grams models share hashed buckets: one of the target
-text (documents labelled good) and one of the raw text (all documents). The
-importance of a text is the ratio of its probabilities under the two, taken
+text (labelled documents that are good) and one of the raw text (labelled
+documents of all kinds, a labelled sample of the corpus). The importance of a text is the ratio of its probabilities under the two, taken
 over its least target-like stretch of ``span`` words, so that one bad passage
 in a long text weighs as much as in a short one. The sample is the top k of
 log importance / ``temperature`` + Gumbel noise (a hash of the row, so runs
 repeat), with k the number of documents whose stretch lies above the level
 that divides the labelled documents best.
 
-N-grams: words and pairs of words, and the same of word shapes (runs of
-capitals, small letters, digits and other signs). The target model is shrunk
+N-grams: words, pairs of words, the first five letters of words, and word
+shapes (runs of capitals, small letters, digits and other signs) and pairs of
+them. The target model is shrunk
 to the raw one: p_t = p_r * (c + a) / (E + a), with c the count in the target
 text and E the count expected there from the raw model.
 
-The raw counts cover all documents; the labels used for fitting are at most
-``max_labels`` rows, those with the smallest hash of their id.
+Both models are fitted to at most ``max_labels`` labelled rows, those with the
+smallest hash of their id; every document is scored. Raw counts over all
+documents make n-grams that only unlabelled documents have look unlike the
+target (most clean unlabelled documents and their copies were dropped), so
+n-grams outside the labelled sample are neutral. The text of a labelled
+document is left out of the counts when it is scored itself.
 
 Defined results: null and empty texts have no n-grams, log importance 0 and
 so are judged like neutral text; rows with a null id are kept or dropped like
@@ -30,59 +35,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import WordHash, encode, mix, table, written
 
-BITS, SPAN, PRIOR, TEMPERATURE, MAX_LABELS = 18, 12, 1.0, 0.1, 20_000
+BITS, SPAN, PRIOR, TEMPERATURE, MAX_LABELS = 20, 12, 1.0, 0.1, 20_000
 _SHAPES = ((re.compile(rb"[A-Z][A-Z]+"), b"AA"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 
 
-class ShapeHash(WordHash):
-    """word -> hash of its shape."""
+class PartHash(WordHash):
+    """word -> hash of a part or the shape of it."""
+
+    def __init__(self, part):
+        super().__init__()
+        self.part = part
 
     def __missing__(self, word: bytes) -> int:
-        shape = word
-        for pattern, by in _SHAPES:
-            shape = pattern.sub(by, shape)
-        h = WordHash.__missing__(self, b"\x00" + shape[:12])
-        if b"\x00" + shape[:12] != word:
-            self.pop(b"\x00" + shape[:12], None)
-            self[word] = h
+        if len(self) > 2_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(self.part(word))
         return h
 
 
+def shape(word: bytes) -> bytes:
+    for pattern, by in _SHAPES:
+        word = pattern.sub(by, word)
+    return word[:12]
+
+
+def stem(word: bytes) -> bytes:
+    return word.decode("utf-8", "surrogatepass").lower()[:5].encode("utf-8", "surrogatepass")
+
+
 class Grams:
-    """Bucket of the four n-grams that start at each word of the texts."""
+    """Buckets of the n-grams that start at each word of the texts."""
 
     def __init__(self, bits: int):
-        self.bits, self.words, self.shapes = bits, WordHash(), ShapeHash()
+        self.bits, self.parts = bits, (WordHash(), PartHash(shape), PartHash(stem))
 
     def __call__(self, texts):
-        hashes, shapes, starts = [], [], [0]
+        words, starts = [], [0]
         for t in texts:
             w = encode(t).split()
-            hashes.append(np.fromiter(map(self.words.__getitem__, w), np.uint64, len(w)))
-            shapes.append(np.fromiter(map(self.shapes.__getitem__, w), np.uint64, len(w)))
+            words += w
             starts.append(starts[-1] + len(w))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (hashes, shapes))
         starts = np.asarray(starts)
-        last = np.zeros(len(a), bool)  # no pair starts at a text's last word
-        ends = starts[1:][np.diff(starts) > 0] - 1
-        last[ends] = True
-        step = np.uint64(64 - self.bits)
-        out = []
-        for h, salt in ((a, 1), (b, 2)):
+        last = np.zeros(len(words), bool)  # no pair starts at a text's last word
+        last[starts[1:][np.diff(starts) > 0] - 1] = True
+        step, out = np.uint64(64 - self.bits), []
+        for salt, part in enumerate(self.parts):
+            h = np.fromiter(map(part.__getitem__, words), np.uint64, len(words))
             out.append((mix(h + np.uint64(salt)) >> step).astype(np.int32))
-            pair = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(0)) + np.uint64(salt + 2)) >> step
-            out.append(np.where(last, -1, pair.astype(np.int32)))
+            if salt < 2 and len(h):
+                pair = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], h[:1]) + np.uint64(salt + 8)) >> step
+                out.append(np.where(last, -1, pair.astype(np.int32)))
         return out, starts
 
 
 def counts(docs: DataFrame, bits: int) -> np.ndarray:
-    """How often each bucket occurs in the raw and in the target text
-    (column ``good``): 2 x 2**bits numbers, summed in Spark."""
+    """How often each bucket occurs in the raw text and in the target text
+    (where ``good``): 2 x 2**bits numbers, summed in Spark."""
 
     def count(batches: Iterator[pd.DataFrame]):
         grams, raw, good = Grams(bits), np.zeros(2 ** bits, np.int64), np.zeros(2 ** bits, np.int64)
@@ -92,8 +106,8 @@ def counts(docs: DataFrame, bits: int) -> np.ndarray:
                 lists, starts = grams(part["text"])
                 is_good = np.repeat(part["good"].to_numpy(bool), np.diff(starts))
                 for x in lists:
-                    raw += np.bincount(x[x >= 0], minlength=2 ** bits)
-                    good += np.bincount(x[(x >= 0) & is_good], minlength=2 ** bits)
+                    np.add.at(raw, x[x >= 0], 1)
+                    np.add.at(good, x[(x >= 0) & is_good], 1)
         at = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": at, "raw": raw[at], "good": good[at]})
 
@@ -110,14 +124,27 @@ def log_ratio(raw: np.ndarray, good: np.ndarray, prior: float) -> np.ndarray:
     return np.log((good + prior) / (expected + prior))
 
 
-def importances(texts, grams: Grams, weights: np.ndarray, span: int) -> np.ndarray:
-    """Log importance of each text: that of its least target-like stretch."""
+def importances(texts, good, grams: Grams, raw: np.ndarray, target: np.ndarray, weights: np.ndarray,
+                span: int, prior: float) -> np.ndarray:
+    """Log importance of each text: that of its least target-like stretch.
+    ``good`` is None for a text without label."""
     lists, starts = grams(texts)
+    share = target.sum() / max(raw.sum(), 1.0)
     each = sum(np.where(x >= 0, weights[np.maximum(x, 0)], 0.0) for x in lists)
-    out, total = np.zeros(len(texts)), np.append(0.0, np.cumsum(each))
+    out = np.zeros(len(texts))
     for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
-        if b > a:
-            out[i] = (total[a + span:b + 1] - total[a:b + 1 - span]).min() if b - a > span else total[b] - total[a]
+        if a == b:
+            continue
+        own = each[a:b]
+        if good[i] is not None:  # without the text itself
+            x = np.concatenate([y[a:b] for y in lists])
+            used, back, n = np.unique(x, return_inverse=True, return_counts=True)
+            n[used < 0] = 0
+            w = np.log((target[used] - n * bool(good[i]) + prior) / ((raw[used] - n) * share + prior))
+            w[used < 0] = 0.0
+            own = w[back].reshape(len(lists), -1).sum(axis=0)
+        total = np.append(0.0, np.cumsum(own))
+        out[i] = (total[span:] - total[:-span]).min() if b - a > span else total[-1]
     return out
 
 
@@ -163,8 +190,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bits: int
             .agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("__good"))
             .orderBy(F.xxhash64("__id"), "__id").limit(max_labels))  # at most max_labels rows
     marked = docs.join(F.broadcast(used), F.col(f"`{id_col}`").cast("bigint") == F.col("__id"), "left")
-    raw, good = counts(marked.select("text", F.coalesce("__good", F.lit(False)).alias("good")), bits)
-    weights = spark.sparkContext.broadcast(log_ratio(raw, good, prior))  # 2**bits numbers
+    raw, good = counts(marked.where("__good is not null").select("text", F.col("__good").alias("good")), bits)
+    models = spark.sparkContext.broadcast((raw, good, log_ratio(raw, good, prior)))  # 3 * 2**bits numbers
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", log_importance double"
 
     def score(batches: Iterator[pd.DataFrame]):
@@ -173,7 +200,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bits: int
             for at in range(0, len(b), 512):
                 part = b.iloc[at:at + 512]
                 if len(part):
-                    yield part.assign(log_importance=importances(part["text"], grams, weights.value, span))
+                    label = [None if pd.isna(g) else bool(g) for g in part["__good"]]
+                    yield part.assign(log_importance=importances(part["text"], label, grams, *models.value, span, prior))
 
     rows = written(marked.mapInPandas(score, schema), "importance")
     seen = rows.where("__good is not null").select("log_importance", "__good").limit(10 * max_labels).toPandas()
