@@ -6,6 +6,7 @@ from riskspark.llm.bpe import op6_bpe_encode
 from riskspark.llm.kneser import op2_kneser_ney
 from riskspark.llm.resample import op5_importance_resampling
 from riskspark.llm.substrings import op1_substring_dedup
+from riskspark.llm.tiling import op4_decontaminate
 from riskspark.llm.urls import op10_url_filter
 from riskspark.llm.winnow import op3_winnow
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_winnow": op3_winnow,
+    "op4_decontaminate": op4_decontaminate,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_bpe_encode": op6_bpe_encode,
     "op10_url_filter": op10_url_filter,
