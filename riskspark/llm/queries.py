@@ -7,6 +7,7 @@ from riskspark.llm.kneser import op2_kneser_ney
 from riskspark.llm.ngram_join import op8_ngram_jaccard
 from riskspark.llm.resample import op5_importance_resampling
 from riskspark.llm.substrings import op1_substring_dedup
+from riskspark.llm.suffix_dedup import op9_suffix_dedup
 from riskspark.llm.tiling import op4_decontaminate
 from riskspark.llm.urls import op10_url_filter
 from riskspark.llm.winnow import op3_winnow
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_importance_resampling": op5_importance_resampling,
     "op6_bpe_encode": op6_bpe_encode,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {}
