@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskspark.llm.bpe import op6_bpe_encode
 from riskspark.llm.kneser import op2_kneser_ney
 from riskspark.llm.ngram_join import op8_ngram_jaccard
+from riskspark.llm.pii import op7_pii
 from riskspark.llm.resample import op5_importance_resampling
 from riskspark.llm.substrings import op1_substring_dedup
 from riskspark.llm.suffix_dedup import op9_suffix_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_bpe_encode": op6_bpe_encode,
+    "op7_pii": op7_pii,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
