@@ -182,7 +182,7 @@ def best_level(score: np.ndarray, good: np.ndarray, tolerance: float = 2.0) -> f
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bits: int = BITS, span: int = SPAN,
            prior: float = PRIOR, max_labels: int = MAX_LABELS):
-    """(docs with ``log_importance``, level that divides the labels, None
+    """(docs with ``__log_importance``, level that divides the labels, None
     without labels of both kinds)."""
     spark = docs.sparkSession
     used = (labels.where(f"{id_col} is not null and quality is not null and toxic is not null")
@@ -192,7 +192,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bits: int
     marked = docs.join(F.broadcast(used), F.col(f"`{id_col}`").cast("bigint") == F.col("__id"), "left")
     raw, good = counts(marked.where("__good is not null").select("text", F.col("__good").alias("good")), bits)
     models = spark.sparkContext.broadcast((raw, good, log_ratio(raw, good, prior)))  # 3 * 2**bits numbers
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", log_importance double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", __log_importance double"
 
     def score(batches: Iterator[pd.DataFrame]):
         grams = Grams(bits)
@@ -201,30 +201,29 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bits: int
                 part = b.iloc[at:at + 512]
                 if len(part):
                     label = [None if pd.isna(g) else bool(g) for g in part["__good"]]
-                    yield part.assign(log_importance=importances(part["text"], label, grams, *models.value, span, prior))
+                    yield part.assign(__log_importance=importances(part["text"], label, grams, *models.value, span, prior))
 
     rows = written(marked.mapInPandas(score, schema), "importance")
-    seen = rows.where("__good is not null").select("log_importance", "__good").limit(10 * max_labels).toPandas()
+    seen = rows.where("__good is not null").select("__log_importance", "__good").limit(10 * max_labels).toPandas()
     both = seen["__good"].nunique() > 1
-    level = best_level(seen["log_importance"].to_numpy(), seen["__good"].to_numpy(bool)) if both else None
+    level = best_level(seen["__log_importance"].to_numpy(), seen["__good"].to_numpy(bool)) if both else None
     return rows.drop("__id", "__good"), level
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", temperature: float = TEMPERATURE,
              seed: int = 42, **model) -> DataFrame:
-    """The sampled rows of ``docs`` with log_importance and key."""
-    taken = [c for c in docs.columns if c.lower() in ("log_importance", "key", "__id", "__good")]
-    rows, level = scored(docs.drop(*taken), labels, id_col, **model)
+    """The sampled rows of ``docs`` with __log_importance and __key."""
+    rows, level = scored(docs, labels, id_col, **model)
     u = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.col("text"), F.lit(seed)), 12).cast("double") + 0.5) / 2.0 ** 52
-    rows = rows.withColumn("key", F.col("log_importance") / temperature - F.log(-F.log(u)))
+    rows = rows.withColumn("__key", F.col("__log_importance") / temperature - F.log(-F.log(u)))
     if level is None:
         return rows
-    k = rows.where(F.col("log_importance") >= level).count()
+    k = rows.where(F.col("__log_importance") >= level).count()
     if not k:
         return rows.limit(0)
-    return rows.where(F.col("key") >= kth_largest(rows.select("key"), k))
+    return rows.where(F.col("__key") >= kth_largest(rows.select("__key"), k, "__key"))
 
 
 def op5_importance_resampling(spark, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
-        "doc_id", "log_importance", "key")
+        "doc_id", F.col("__log_importance").alias("log_importance"), F.col("__key").alias("key"))

@@ -28,12 +28,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 #: The small labelled table: unwanted and ordinary addresses.
-_BLOCK_HOSTS = ("cheap-pills", "cheap-meds", "pills-online", "casino-win", "casino-slots", "win-big",
-                "free-bets", "sports-bets", "adult-x", "adult-cams", "xxx-tube", "spam-farm",
-                "link-farm", "ads-track", "ad-tracker", "click-ads", "free-money", "payday-loan")
+_BLOCK_HOSTS = ("cheap-pills", "casino-win", "free-bets", "adult-x", "spam-farm", "ads-track",
+                *(f"{a}-{b}" for i, a in enumerate(("cheap", "free", "best", "win", "hot", "x"))
+                  for b in ("pills", "casino", "bets", "adult", "spam", "ads", "loans", "meds")[i % 2::2]),
+                *(f"{b}-{a}" for i, a in enumerate(("farm", "track", "win", "x", "online", "click"))
+                  for b in ("pills", "casino", "bets", "adult", "spam", "ads", "loans", "meds")[i % 2::2]))
 _ALLOW_HOSTS = ("library", "museum", "therin", "tionsh", "university", "weather", "garden", "history",
                 "kitchen", "theror", "ththan", "science", "cycling", "archive", "theater", "ththst",
-                "notebook", "painting", "thonly", "harbour")
+                "notebook", "painting", "thonly", "harbour", "city-library", "old-town", "theren", "therha",
+                "tiontion", "ththre", "mountain", "bakery", "theother", "public-garden", "ththwh", "railway",
+                "town-museum", "therou", "orchestra", "ththly", "river-valley", "schoolbook", "there", "thther")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
