@@ -35,10 +35,10 @@ def summary(pred: DataFrame) -> DataFrame:
 
 def hourly_trend(pred: DataFrame, ts: str = "created_at") -> DataFrame:
     """O-81: predictions per truncated hour, labelled ``HH:00`` (labels repeat
-    across days; order by ``hour_start``)."""
+    across days), in order of ``hour_start``."""
     h = F.date_trunc("hour", F.col(ts)).cast(dict(pred.dtypes)[ts])  # keep ntz wall-clock hours
     return (pred.groupBy(h.alias("hour_start")).agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("hour", F.date_format("hour_start", "HH:00")))
+            .withColumn("hour", F.date_format("hour_start", "HH:00")).orderBy("hour_start"))
 
 
 def newest_first(pred: DataFrame, ts: str = "created_at", tie: str = "transaction_id") -> DataFrame:

@@ -67,10 +67,12 @@ def with_reason_codes(features: DataFrame, out: str = "reason_codes") -> DataFra
 
 
 def prediction_records(df: DataFrame, model_version: str = "2.0.0") -> DataFrame:
-    """O-56 (first sink): the prediction row; empty flags stored as []."""
+    """O-56 (first sink): the prediction row with the final flag (label or
+    BLOCK); empty flags stored as []."""
     flags = F.col("risk_flags") if "risk_flags" in df.columns else F.array().cast("array<string>")
     return df.select(
-        "transaction_id", "user_id", "fraud_probability", "confidence", "prediction", "decision",
+        "transaction_id", "user_id", "fraud_probability", "confidence",
+        (F.col("prediction") | (F.col("decision") == "BLOCK")).alias("prediction"), "decision",
         "threshold", F.lit(model_version).alias("model_version"),
         F.coalesce(flags, F.array().cast("array<string>")).alias("risk_flags"),
         "created_at")
@@ -83,8 +85,7 @@ def anomaly_records(df: DataFrame, model_name: str = "gbt", model_version: str =
         F.col("fraud_probability").cast("decimal(5,4)").alias("anomaly_score"),
         F.col("decision").alias("anomaly_type"),
         F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),
-        F.concat_ws(",", F.coalesce(F.col("risk_flags"), F.array().cast("array<string>")))
-        .alias("explanation") if "risk_flags" in df.columns else F.lit("").alias("explanation"),
+        F.lit("").alias("explanation"),
         F.col("created_at").alias("detected_at"))
 
 

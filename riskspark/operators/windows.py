@@ -35,6 +35,9 @@ def anchored_windows(df: DataFrame, key: str, ts: str, tie: Sequence[str], secon
     """Add ``window_start`` (timestamp of the window's first row),
     ``count_in_window`` and ``allowed = count_in_window <= limit``."""
     tie = list(tie)
+    # a struct around the key lets null keys join, sort and group like others
+    named, key, given = key, "_wkey", df
+    df = df.withColumn(key, F.struct(F.col(named)))
     length = F.expr(f"INTERVAL {int(seconds) * 1_000_000} MICROSECONDS")
     real = positions(df.select(key, ts, *tie), [ts, *tie], group=key)        # _pos, _group_n
     pair = F.explode(F.array(F.struct(F.col(ts).alias("t"), F.lit(1).alias("k")),
@@ -46,12 +49,11 @@ def anchored_windows(df: DataFrame, key: str, ts: str, tie: Sequence[str], secon
     jump = (real.join(probes, [key, *tie])
             .select(key, F.col("_pos").alias("p"), (F.col("_q") - F.col("_pos")).alias("n"),
                     F.col("_group_n").alias("size")))
-    jump = cut_lineage(jump.withColumn("n", F.when(F.col("n") < F.col("size"), F.col("n"))).drop("size"))
-
-    anchors = cut_lineage(jump.where(F.col("p") == 0).select(key, "p"))
+    anchors = cut_lineage(real.where(F.col("_pos") == 0).select(key, F.col("_pos").alias("p")))
+    jump = cut_lineage(jump.where(F.col("n") < F.col("size")).drop("size"))
     n_anchors = anchors.count()
     for _ in range(max_rounds):
-        step = (anchors.join(jump, [key, "p"]).where(F.col("n").isNotNull())
+        step = (anchors.join(jump, [key, "p"])
                 .select(key, F.col("n").alias("p")))
         anchors = cut_lineage(anchors.unionByName(step).distinct())
         grown = anchors.count()
@@ -60,7 +62,8 @@ def anchored_windows(df: DataFrame, key: str, ts: str, tie: Sequence[str], secon
         n_anchors = grown
         # square the jump table: n <- n(n)
         j2 = jump.select(key, F.col("p").alias("n"), F.col("n").alias("n2"))
-        jump = cut_lineage(jump.join(j2, [key, "n"], "left")
+        # chains that have ended are of no more use: no hot (key, null)
+        jump = cut_lineage(jump.join(j2, [key, "n"]).where(F.col("n2").isNotNull())
                            .select(key, "p", F.col("n2").alias("n")))
     else:
         raise RuntimeError("anchored_windows: chain longer than 2^max_rounds")
@@ -78,4 +81,4 @@ def anchored_windows(df: DataFrame, key: str, ts: str, tie: Sequence[str], secon
     count = F.col("_pos") - F.col("_apos") + 1
     res = out.select(key, *tie, F.col("_ats").alias("window_start"), count.alias("count_in_window"),
                      (count <= limit).alias("allowed"))
-    return df.join(res, [key, *tie])
+    return df.join(res, [key, *tie]).select(*given.columns, "window_start", "count_in_window", "allowed")

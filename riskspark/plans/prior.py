@@ -88,11 +88,12 @@ def prior_scan(df: DataFrame, key: str, order: Sequence[str], value: str | None
         base = df.withColumn(CHUNK, F.lit(0))
         hot_part = None
     else:
-        hb = F.broadcast(hot)
-        cold = df.join(hb, key, "left_anti").withColumn(CHUNK, F.lit(0))
+        hb = F.broadcast(hot.withColumnRenamed(key, "_hk"))
+        same = F.col(key).eqNullSafe(F.col("_hk"))  # a null key may be hot as well
+        cold = df.join(hb, same, "left_anti").withColumn(CHUNK, F.lit(0))
         # materialised: the sampled range bounds (hence chunk ids) must be
         # identical for the rows, the chunk summaries and the first-seen fixes
-        hot_part = cut_lineage(df.join(hb, key, "left_semi")
+        hot_part = cut_lineage(df.join(hb, same, "left_semi")
                                .repartitionByRange(chunks, *_asc([key, *order]))
                                .withColumn(CHUNK, F.spark_partition_id() + 1))
         base = cold.unionByName(hot_part)
@@ -148,7 +149,9 @@ def prior_scan(df: DataFrame, key: str, order: Sequence[str], value: str | None
                         (F.col("_k") + F.col("_s1") / F.col("_s0")).alias("_omean"),
                         F.greatest(F.lit(0.0), F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_s0")
                                    ).alias("_om2")))
-    out = out.join(F.broadcast(offs), [key, CHUNK], "left")
+    offs = offs.withColumnsRenamed({key: "_ok", CHUNK: "_oc"})
+    out = out.join(F.broadcast(offs), F.col(key).eqNullSafe(F.col("_ok")) & (F.col(CHUNK) == F.col("_oc")),
+                   "left").drop("_ok", "_oc")
     out = (out.withColumn("_prior_n", F.col("_ln") + F.coalesce(F.col("_on"), F.lit(0)))
            .withColumn("_prev_t", F.coalesce(F.col("_lprev"), F.col("_olast"))))
     if value:
@@ -177,7 +180,7 @@ def prior_scan(df: DataFrame, key: str, order: Sequence[str], value: str | None
         for x in firsts:
             fc = (hot_part.groupBy(key, x).agg(F.min(CHUNK).alias(f"_fc_{x}"))
                   .withColumnRenamed(key, "_fk").withColumnRenamed(x, "_fx"))
-            fix = (fix.join(fc, (fix[key] == fc["_fk"]) & fix[x].eqNullSafe(fc["_fx"]), "left")
+            fix = (fix.join(fc, fix[key].eqNullSafe(fc["_fk"]) & fix[x].eqNullSafe(fc["_fx"]), "left")
                    .drop("_fk", "_fx"))
             rest = rest.withColumn(f"_fc_{x}", F.lit(None).cast("int"))
         out = rest.unionByName(fix)

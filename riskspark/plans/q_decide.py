@@ -86,7 +86,8 @@ def o55(spark, sf):
 
 @register("o56_prediction_records", f"""
 SELECT transaction_id, user_id, {r6('fraud_probability', 'fraud_probability')},
-       {r6('confidence', 'confidence')}, prediction, decision, CAST(0.5 AS DOUBLE) AS threshold,
+       {r6('confidence', 'confidence')}, prediction OR decision = 'BLOCK' AS prediction, decision,
+       CAST(0.5 AS DOUBLE) AS threshold,
        '2.0.0' AS model_version, array_to_string(risk_flags, '|') AS risk_flags, created_at FROM ({P}) p""")
 def o56(spark, sf):
     r = dc.prediction_records(A.predictions(spark, sf))
@@ -95,7 +96,7 @@ def o56(spark, sf):
 
 @register("o56_anomaly_records", f"""
 SELECT transaction_id, {r6('fraud_probability', 'anomaly_score')}, decision AS anomaly_type,
-       'gbt' AS model_name, '2.0.0' AS model_version, array_to_string(risk_flags, ',') AS explanation,
+       'gbt' AS model_name, '2.0.0' AS model_version, '' AS explanation,
        created_at AS detected_at FROM ({P}) p""")
 def o56b(spark, sf):
     return dc.anomaly_records(A.predictions(spark, sf))

@@ -5,7 +5,7 @@ Training period = rows before the snapshot cutoff, live period = after.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -90,8 +90,7 @@ def o92(spark, sf):
        {r6('round(avg(confidence), 4)', 'average_confidence')},
        {r6('round(avg(fraud_probability), 4)', 'average_probability')} FROM ({P}) p""")
 def o93(spark, sf):
-    tag = hashlib.sha1(sf.encode()).hexdigest()[:12]
-    path = table_dir(spark, f"prediction_log_{tag}")
+    path = table_dir(spark, f"log_stats_{uuid.uuid4().hex[:12]}")
     p = A.predictions(spark, sf)
     files.prediction_log_frame(p, ["transaction_id", "user_id", "amount", "payment_channel"]) \
         .write.mode("overwrite").json(path)

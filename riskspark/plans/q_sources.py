@@ -6,7 +6,7 @@ checkpoint directory and reads it back through the operator under test.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -22,7 +22,8 @@ P = A.PREDICTIONS_SQL
 
 
 def _dir(spark, sf, name):
-    return table_dir(spark, f"{name}_{hashlib.sha1(sf.encode()).hexdigest()[:12]}")
+    """A new folder for each call, so that a query can be run again."""
+    return table_dir(spark, f"{name}_{uuid.uuid4().hex[:12]}")
 
 
 def raw_transfer_frame(spark, sf):
@@ -54,15 +55,17 @@ def o01(spark, sf):
     return files.read_raw_transfers(spark, [f"{base}/a", f"{base}/b"]).drop("source_file")
 
 
-def _event_json(spark, sf):
-    """Bus messages: events as JSON; error events arrive truncated."""
+def _event_json(spark, sf, failed=None):
+    """Bus messages: events as JSON; error events arrive truncated, and those
+    that the SQL condition ``failed`` names have failed."""
     t = A.transactions(spark, sf).join(
         A.predictions(spark, sf).select("transaction_id", "fraud_probability"), "transaction_id")
     ev = t.select(
         "transaction_id", "user_id",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "amount",
         F.lit("USD").alias("currency"), F.lit("TRANSFER").alias("transaction_type"),
-        "payment_method", "merchant", "location", "fraud_probability", "status",
+        "payment_method", "merchant", "location", "fraud_probability",
+        (F.when(F.expr(failed), "FAILED").otherwise(F.col("status")) if failed else F.col("status")).alias("status"),
         F.lit(0).alias("retry_count"))
     js = F.to_json(F.struct(*ev.columns))
     bad = F.col("payment_method") == "error"

@@ -24,6 +24,10 @@ from riskspark.streaming import jobs
 
 E = A.EVENTS_TXN_SQL
 SLICES = 4
+#: Events that fail whenever they are processed (the tables have none).
+FAILED = "CAST(transaction_id AS BIGINT) % 17 = 0"
+#: Files of a slice, and of a micro-batch.
+FILES = 8
 
 
 def _fresh(spark, name):
@@ -31,14 +35,19 @@ def _fresh(spark, name):
 
 
 def _stage(df, path, ts="ts", slices=SLICES):
-    """Write ``df`` as ``slices`` files in time order (one write per slice,
-    so the file source replays them oldest first)."""
+    """Write ``df`` in ``slices`` steps in time order, ``FILES`` files each,
+    so the file source replays them oldest first."""
     lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    if lo is None:
+        df.write.mode("append").parquet(path)
+        return df.schema
     span = (hi - lo) / slices
     for i in range(slices):
         a, b = lo + span * i, lo + span * (i + 1)
-        part = df.where((F.col(ts) >= ntz_lit(a)) & ((F.col(ts) < ntz_lit(b)) if i < slices - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(path)
+        inside = F.col(ts) >= ntz_lit(a)
+        # rows without a time come last
+        inside = inside & (F.col(ts) < ntz_lit(b)) if i < slices - 1 else inside | F.col(ts).isNull()
+        df.where(inside).repartition(FILES).write.mode("append").parquet(path)
     return df.schema
 
 
@@ -60,7 +69,7 @@ FROM s"""
 def stream_features(spark, sf):
     base = _fresh(spark, "features")
     schema = _stage(A.events_txn(spark, sf), f"{base}/in")
-    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=1)
+    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
     return _run(jobs.account_feature_stream(s), base)
 
 
@@ -75,7 +84,7 @@ SELECT payment_channel, count(*) AS n, round(sum(amount), 6) AS sum_amount, CAST
 def o74(spark, sf):
     base = _fresh(spark, "drift")
     schema = _stage(A.events_txn(spark, sf), f"{base}/in")
-    feats = jobs.account_feature_stream(jobs.file_stream(spark, f"{base}/in", schema, max_files=1))
+    feats = jobs.account_feature_stream(jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES))
     # accumulate the features as emitted at 6 places (the twin sums the same values)
     feats = feats.withColumn("spending_deviation_score", round6(F.col("spending_deviation_score")))
     agg = jobs.drift_accumulators(feats)
@@ -94,32 +103,44 @@ def _messages(spark, sf, base):
 
     t = A.transactions(spark, sf).select("transaction_id", "ts")
     first = t.agg(F.min("ts")).first()[0]
-    staged = (_event_json(spark, sf)
+    staged = (_event_json(spark, sf, FAILED)
               .withColumn("transaction_id", F.get_json_object("value", "$.transaction_id"))
               .join(t, "transaction_id", "left")
               .select("value", F.coalesce(F.col("ts"), ntz_lit(first)).alias("ts")))
     _stage(staged, f"{base}/in")
-    return jobs.file_stream(spark, f"{base}/in", "value string, ts timestamp_ntz", max_files=1)
+    return jobs.file_stream(spark, f"{base}/in", "value string, ts timestamp_ntz", max_files=FILES)
 
 
 @register("o71_decision_stream", f"""
 SELECT 'review_queue' AS sink, transaction_id, {r6('fraud_probability', 'fraud_probability')}
-FROM ({A.PREDICTIONS_SQL}) p WHERE decision = 'REVIEW' AND payment_channel <> 'error'
+FROM ({A.PREDICTIONS_SQL}) p WHERE decision = 'REVIEW' AND payment_channel <> 'error' AND NOT {FAILED}
 UNION ALL SELECT 'alerts', transaction_id, round(fraud_probability, 6)
-FROM ({A.PREDICTIONS_SQL}) p WHERE decision = 'BLOCK' AND payment_channel <> 'error'""")
+FROM ({A.PREDICTIONS_SQL}) p WHERE decision = 'BLOCK' AND payment_channel <> 'error' AND NOT {FAILED}
+UNION ALL SELECT sink, transaction_id, round(fraud_probability, 6) FROM ({A.PREDICTIONS_SQL}) p,
+  (VALUES ('retry_1'), ('retry_2'), ('retry_3'), ('dlq_3')) s(sink) WHERE payment_channel <> 'error' AND {FAILED}""")
 def o71(spark, sf):
     base = _fresh(spark, "decisions")
-    d, _ = jobs.decision_stream(_messages(spark, sf, base))
-    jobs.run_foreach_batch(d, jobs.decision_batch_writer(f"{base}/sinks"), f"{base}/ckpt")
-    r = spark.read.parquet(f"{base}/sinks/review_queue").select(
-        F.lit("review_queue").alias("sink"), "transaction_id", "fraud_probability")
-    a = spark.read.parquet(f"{base}/sinks/alerts").select(
-        F.lit("alerts").alias("sink"), "transaction_id", "fraud_probability")
-    return r.unionByName(a)
+    rounds = jobs.run_with_retries(spark, _messages(spark, sf, base), f"{base}/sinks")
+    out = None
+    for here in rounds:
+        for sink in ("review_queue", "alerts"):
+            rows = spark.read.parquet(f"{here}/{sink}").select(F.lit(sink).alias("sink"), "transaction_id",
+                                                               "fraud_probability")
+            out = rows if out is None else out.unionByName(rows)
+        for sink in ("retry", "dlq"):  # the event as it was sent on
+            e = F.from_json("value", files.EVENT_SCHEMA)
+            rows = (spark.read.schema("key string, value string").json(f"{here}/{sink}").select(e.alias("e"))
+                    .select(F.concat(F.lit(f"{sink}_"), F.col("e.retry_count")).alias("sink"),
+                            "e.transaction_id", "e.fraud_probability"))
+            out = out.unionByName(rows)
+    return out
 
 
 @register("o75_decision_counters", f"""
-SELECT decision, count(*) AS count FROM ({A.PREDICTIONS_SQL}) p WHERE payment_channel <> 'error' GROUP BY decision""")
+WITH e AS (SELECT *, {FAILED} AS failed FROM ({A.PREDICTIONS_SQL}) p WHERE payment_channel <> 'error')
+SELECT 'decision_' || decision AS counter, count(*) AS count FROM e WHERE NOT failed GROUP BY decision
+UNION ALL SELECT 'consumed', count(*) FROM e
+UNION ALL SELECT 'retry', count(*) FROM e WHERE failed HAVING count(*) > 0""")
 def o75(spark, sf):
     base = _fresh(spark, "counters")
     d, _ = jobs.decision_stream(_messages(spark, sf, base))
@@ -131,11 +152,14 @@ def o75(spark, sf):
     return spark.read.parquet(f"{base}/counts")
 
 
-@register("o76_watermarked_trend")
+@register("o76_watermarked_trend", f"""
+SELECT date_trunc('hour', created_at) AS hour_start, count(*) AS count FROM ({A.PREDICTIONS_SQL}) p
+WHERE payment_channel <> 'error' GROUP BY 1""")
 def o76(spark, sf):
     base = _fresh(spark, "trend")
     d, _ = jobs.decision_stream(_messages(spark, sf, base))
-    return _run(jobs.hourly_trend_stream(d), base)
+    trend = jobs.latest_by_key(jobs.hourly_trend_stream(d), ["hour_start"], f"{base}/out", f"{base}/ckpt")
+    return trend.select(F.col("hour_start").cast("timestamp_ntz"), "count")
 
 
 @register("o72_enrich_stream", SNAP + f"""
@@ -149,7 +173,7 @@ def o72(spark, sf):
     cut = bl.snapshot_cutoff(t)
     baselines = bl.user_baselines(t.where(F.col("ts") < ntz_lit(cut)))
     schema = _stage(t.where(F.col("ts") >= ntz_lit(cut)), f"{base}/in")
-    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=1)
+    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
     out = _run(jobs.enrich_stream(s, baselines), base)
     return out.select("row_id", "amount_deviation", "amount_z_score", "payment_method_changed",
                       "outside_usual_city", "outside_active_hours", "decision")
@@ -161,7 +185,7 @@ def o73(spark, sf):
     base = _fresh(spark, "ratelimit")
     r = A.events_txn(spark, sf).select("row_id", "account", "ts")
     schema = _stage(r, f"{base}/in")
-    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=1)
+    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
     return _run(jobs.anchored_window_stream(s, "account", "ts", 60, 100, ["row_id", "account"], ["row_id"]), base)
 
 
@@ -172,7 +196,7 @@ def o59(spark, sf):
     r = A.events_txn(spark, sf).select(
         "row_id", F.concat_ws(":", "account", "merchant").alias("idempotency_key"), "ts")
     schema = _stage(r, f"{base}/in")
-    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=1)
+    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
     out = _run(jobs.anchored_window_stream(s, "idempotency_key", "ts", 86400, 1,
                                            ["row_id", "idempotency_key"], ["row_id"]), base)
     return out.withColumnRenamed("allowed", "processed")
@@ -182,7 +206,7 @@ def o59(spark, sf):
 def o08(spark, sf):
     base = _fresh(spark, "topic")
     files.publish(A.predictions(spark, sf).drop("risk_flags"), "user_id", "transactions.raw", f"{base}/bus")
-    s = files.read_topic_stream(spark, "transactions.raw", f"{base}/bus", max_files=1)
+    s = files.read_topic_stream(spark, "transactions.raw", f"{base}/bus", max_files=FILES)
     return _run(s, base)
 
 

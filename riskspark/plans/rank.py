@@ -46,6 +46,10 @@ def positions(df: DataFrame, order: Sequence[Column | str], group: str | None =
         F.coalesce(F.sum("_c").over(wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         *([F.sum("_c").over(wg).alias("_group_n")] if sizes else []))  # <= parts x groups rows
-    j = r.join(F.broadcast(offs), ["_pid", *g])
+    if group:  # null groups count too; Spark decides by size how to join
+        offs = offs.withColumnsRenamed({"_pid": "_opid", group: "_og"})
+        j = r.join(offs, (F.col("_pid") == F.col("_opid")) & F.col(group).eqNullSafe(F.col("_og"))).drop("_opid", "_og")
+    else:
+        j = r.join(F.broadcast(offs), "_pid")  # one row per partition
     return j.withColumn(out, F.col("_loc") - F.col("_first") + F.col("_off")).drop(
         "_pid", "_loc", "_first", "_off")

@@ -161,12 +161,20 @@ def kafka_available(spark: SparkSession) -> bool:
         return False
 
 
+def require_kafka(spark: SparkSession) -> None:
+    """A named broker is never replaced by files without a word."""
+    if not kafka_available(spark):
+        raise RuntimeError("a broker is named, but the Kafka connector is not on Spark's class path")
+
+
 def publish(df: DataFrame, key: str, topic: str, target: str, bootstrap: str | None = None) -> None:
-    """O-07 batch: publish keyed JSON; Kafka when available (hash-partitioned
-    by key on the broker side), else JSON files under ``target``/topic."""
+    """O-07 batch: publish keyed JSON; Kafka (hash-partitioned
+    by key on the broker side) when a broker is named, else JSON files under
+    ``target``/topic."""
     msgs = to_messages(df, key)
     spark = df.sparkSession
-    if bootstrap and kafka_available(spark):
+    if bootstrap:
+        require_kafka(spark)
         (msgs.write.format("kafka").option("kafka.bootstrap.servers", bootstrap)
          .option("kafka.acks", "all").option("topic", topic).save())
     else:
@@ -177,7 +185,8 @@ def read_topic_stream(spark: SparkSession, topic: str, source: str, bootstrap: s
                       starting: str = "latest", max_files: int | None = None) -> DataFrame:
     """O-08: streaming (key, value) records from a topic, or from a folder of
     JSON message files with the same layout."""
-    if bootstrap and kafka_available(spark):
+    if bootstrap:
+        require_kafka(spark)
         return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
                 .option("subscribe", topic).option("startingOffsets", starting).load()
                 .select(F.col("key").cast("string"), F.col("value").cast("string")))

@@ -67,6 +67,21 @@ def run_foreach_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], check
     q.awaitTermination()
 
 
+def latest_by_key(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregate in update mode into a table of versions (a folder a
+    batch, rewritten when the batch is replayed) and return the last version
+    of each key."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+
+    run_foreach_batch(df, write, checkpoint, mode="update")
+    rows = df.sparkSession.read.parquet(f"{path}/*")
+    others = [c for c in df.columns if c not in keys]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_last"))
+            .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others]))
+
+
 def account_feature_stream(stream: DataFrame, key: str = "account") -> DataFrame:
     """O-70: streaming past-only features; same definition as the batch
     ``feature_rows`` (tested equal on the driver tables)."""
@@ -96,13 +111,15 @@ def decision_batch_writer(base: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            review, alerts = dc.route(batch)
+            routed = dc.retry_route(batch)
+            review, alerts = dc.route(routed.where(F.col("route") == "PROCESSED"))
             review.write.mode("overwrite").parquet(f"{base}/review_queue/batch={batch_id}")
             alerts.write.mode("overwrite").parquet(f"{base}/alerts/batch={batch_id}")
-            routed = dc.retry_route(batch)
-            for r in ("RETRY", "DLQ"):
-                files.to_messages(routed.where(F.col("route") == r).drop("route"), "transaction_id") \
-                    .write.mode("overwrite").json(f"{base}/{r.lower()}/batch={batch_id}")
+            for r in ("RETRY", "DLQ"):  # the whole event, with its own count moved on
+                event = F.col("event").withField("retry_count", F.col("next_retry_count"))
+                (routed.where(F.col("route") == r)
+                 .select(F.col("transaction_id").alias("key"), F.to_json(event).alias("value"))
+                 .write.mode("overwrite").json(f"{base}/{r.lower()}/batch={batch_id}"))
         finally:
             batch.unpersist()
 
@@ -110,14 +127,21 @@ def decision_batch_writer(base: str) -> Callable[[DataFrame, int], None]:
 
 
 def decision_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """O-71: bus messages -> decoded events (bad ones quarantined) ->
-    decision on the carried probability, with error kind / retry count."""
+    """O-71: bus messages -> decoded events -> decision on the carried
+    probability, with error kind, retry count and the event itself.  Messages
+    that don't decode, or whose time can't be read, are quarantined."""
     good, bad = files.decode_events(messages)
-    d = good.select(
-        "transaction_id", "user_id", "amount", "payment_method", "status", "retry_count",
+    good = good.select("*", F.struct(*good.columns).alias("event"),
+                       F.try_to_timestamp(F.col("timestamp")).alias("created_at"))
+    no_time = F.col("timestamp").isNotNull() & F.col("created_at").isNull()
+    bad = bad.unionByName(good.where(no_time).select(F.to_json("event").alias("raw_value"),
+                                                     F.lit("BAD_TIMESTAMP").alias("reason")))
+    d = good.where(~no_time).select(
+        "transaction_id", "user_id", "amount", "payment_method", "status",
+        F.coalesce("retry_count", F.lit(0)).alias("retry_count"),
         F.round("fraud_probability", 4).alias("fraud_probability"),
         decision(F.col("fraud_probability")).alias("decision"),
-        F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"),
+        "created_at", "event",
         F.when(F.col("status") == "FAILED", "RETRYABLE").alias("error_kind"))
     return d, bad
 
@@ -141,13 +165,43 @@ def drift_accumulators(stream: DataFrame) -> DataFrame:
 
 
 def decision_counters(stream: DataFrame) -> DataFrame:
-    """O-75: decisions / consumed counters."""
-    return stream.groupBy("decision").agg(F.count(F.lit(1)).alias("count"))
+    """O-75: one count for each decision made, and for the events consumed,
+    sent to retry and sent to the dead-letter queue."""
+    r = dc.retry_route(stream)
+    names = F.array_compact(F.array(
+        F.lit("consumed"),
+        F.when(F.col("route") == "PROCESSED", F.concat(F.lit("decision_"), F.col("decision"))),
+        F.when(F.col("route") == "RETRY", "retry"), F.when(F.col("route") == "DLQ", "dlq")))
+    return r.select(F.explode(names).alias("counter")).groupBy("counter").agg(F.count(F.lit(1)).alias("count"))
+
+
+def retry_messages(spark: SparkSession, base: str) -> DataFrame | None:
+    """The retry topic of a round as a stream, None when nothing was sent."""
+    folder = f"{base}/retry"
+    if spark.read.schema("key string, value string").json(folder).isEmpty():
+        return None
+    return spark.readStream.schema("key string, value string").json(f"{folder}/*")
+
+
+def run_with_retries(spark: SparkSession, messages: DataFrame, base: str) -> list[str]:
+    """O-71 with its second loop: route the messages, then read the retry
+    topic back round after round until no event is left below the limit.
+    Returns the folder of each round."""
+    rounds: list[str] = []
+    while messages is not None:
+        here = f"{base}/round={len(rounds)}"
+        rounds.append(here)
+        d, _ = decision_stream(messages)
+        run_foreach_batch(d, decision_batch_writer(here), f"{here}-ckpt")
+        messages = retry_messages(spark, here)
+    return rounds
 
 
 def hourly_trend_stream(stream: DataFrame, ts: str = "created_at", delay: str = "1 hour") -> DataFrame:
     """O-76 / O-81: tumbling hourly counts with a watermark: rows later than
-    ``delay`` behind the max event time are dropped (documented policy)."""
+    ``delay`` behind the max event time are dropped (documented policy).  Run
+    in update mode through ``latest_by_key``, so hours that the watermark has
+    not closed yet are in the table too."""
     return (stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour").alias("w"))
             .agg(F.count(F.lit(1)).alias("count"))
             .select(F.col("w.start").alias("hour_start"), "count"))
