@@ -127,11 +127,14 @@ FROM ({EVENTS_TXN_SQL}) t
 """
 
 
-def predictions(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """Prediction records (F6 shape) derived from ``scored_txn``."""
+def predictions(spark: SparkSession, sf_dir: str, threshold: float = 0.5, row_id: int | None = None) -> DataFrame:
+    """Prediction records (F6 shape) derived from ``scored_txn``; ``row_id``
+    looks one up by its stored key, which the scan can skip row groups by."""
     from riskspark.functions.rules import decision
 
     s = scored_txn(spark, sf_dir)
+    if row_id is not None:
+        s = s.where(F.col("row_id") == row_id)
     p = F.col("fraud_probability")
     return s.select(
         F.col("row_id").cast("string").alias("transaction_id"),

@@ -118,7 +118,8 @@ def assign_model(df: DataFrame, key: str, split: dict[str, int], default: str) -
     if not split:
         return df.withColumn("model_id", F.lit(default))
     total = sum(split.values())
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(total))
+    digest = F.md5(F.col(key).cast("string").cast("binary"))  # any SQL engine can repeat it
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(total)
     expr: Column | None = None
     acc = 0
     for model, w in split.items():

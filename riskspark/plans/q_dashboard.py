@@ -51,7 +51,7 @@ def o82(spark, sf):
 
 @register("o83_prediction_by_id", f"SELECT {COLS} FROM ({P}) p WHERE transaction_id = '4242'")
 def o83(spark, sf):
-    return _flat(db.by_transaction_id(_pred(spark, sf), "4242"))
+    return _flat(db.by_transaction_id(A.predictions(spark, sf, row_id=4242), "4242"))
 
 
 @register("o84_recent_20", f"""

@@ -40,7 +40,16 @@ def o03(spark, sf):
     return rejected.withColumn("rejection_codes", F.concat_ws("|", "rejection_codes"))
 
 
-@register("o110_stratified_split")
+#: The 70/15/15 split by class in md5 order: 0.30 off, then half of it.
+SPLIT_SQL = f"""sp AS (
+SELECT *, CASE WHEN pos < n - rest THEN 'train' WHEN pos < n - CAST(ceil(0.5::DOUBLE * rest) AS BIGINT) THEN 'valid'
+               ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('42|' || row_id), row_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY is_fraud) AS n,
+             CAST(ceil(0.3::DOUBLE * count(*) OVER (PARTITION BY is_fraud)) AS BIGINT) AS rest FROM ({E}) t) q)"""
+
+
+@register("o110_stratified_split", f"WITH {SPLIT_SQL} SELECT row_id, is_fraud, split FROM sp")
 def o110(spark, sf):
     t = A.events_txn(spark, sf)
     return sp.stratified_split(t, "is_fraud", ["row_id"]).select("row_id", "is_fraud", "split")
@@ -54,7 +63,13 @@ def o111(spark, sf):
     return sp.chronological_split(A.events_txn(spark, sf), ["ts", "row_id"]).select("row_id", "split")
 
 
-@register("o112_stratified_sample")
+@register("o112_stratified_sample", f"""
+WITH c AS (SELECT is_fraud, count(*) AS n, 1000 * count(*)::DOUBLE / sum(count(*)) OVER () AS exact FROM ({E}) t GROUP BY is_fraud),
+q AS (SELECT is_fraud, floor(exact) + CAST(row_number() OVER (ORDER BY exact - floor(exact) DESC, is_fraud)
+             <= 1000 - sum(floor(exact)) OVER () AS BIGINT) AS quota FROM c),
+p AS (SELECT row_id, is_fraud, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('42|' || row_id), row_id) AS pos
+      FROM ({E}) t)
+SELECT row_id, p.is_fraud FROM p JOIN q ON p.is_fraud = q.is_fraud WHERE pos <= quota""")
 def o112(spark, sf):
     t = A.events_txn(spark, sf)
     return sp.stratified_sample(t, "is_fraud", ["row_id"], 1000).select("row_id", "is_fraud")
@@ -86,7 +101,10 @@ def o113b(spark, sf):
     return va.dataset_report(_features(spark, sf).select(*feat.FEATURE_COLUMNS), "is_fraud")
 
 
-@register("o114_split_integrity")
+@register("o114_split_integrity", f"""WITH {SPLIT_SQL}
+SELECT true AS schemas_equal, count(*) FILTER (WHERE split = 'train') AS train,
+       count(*) FILTER (WHERE split = 'valid') AS valid, count(*) FILTER (WHERE split = 'test') AS test,
+       count(*) AS total, true AS counts_add_up FROM sp""")
 def o114(spark, sf):
     t = A.events_txn(spark, sf)
     s = sp.stratified_split(t, "is_fraud", ["row_id"]).persist()
@@ -220,7 +238,12 @@ def o149(spark, sf):
     return pf.overview(_features(spark, sf).select(*feat.FEATURE_COLUMNS), "is_fraud")
 
 
-@register("o150_split_comparison")
+@register("o150_split_comparison", f"""WITH {SPLIT_SQL},
+ch AS (SELECT is_fraud, row_number() OVER (ORDER BY ts, row_id) - 1 AS pos, count(*) OVER () AS n FROM ({E}) t),
+u AS (SELECT 'stratified' AS strategy, split, is_fraud FROM sp
+      UNION ALL SELECT 'chronological', CASE WHEN pos < floor(n * 0.7) THEN 'train'
+        WHEN pos < floor(n * 0.7) + floor(n * 0.15) THEN 'valid' ELSE 'test' END, is_fraud FROM ch)
+SELECT strategy, split, count(*) AS rows, {r6('avg(is_fraud)', 'fraud_ratio')} FROM u GROUP BY strategy, split""")
 def o150(spark, sf):
     t = A.events_txn(spark, sf)
     strat = sp.stratified_split(t, "is_fraud", ["row_id"])

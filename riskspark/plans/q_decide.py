@@ -127,7 +127,9 @@ def o58(spark, sf):
     return dc.retry_route(A.failed_events(spark, sf))
 
 
-@register("o60_model_assignment")
+@register("o60_model_assignment", f"""
+SELECT transaction_id, CASE WHEN CAST('0x' || substr(md5(transaction_id), 1, 8) AS BIGINT) % 100 < 90
+       THEN 'model_v2' ELSE 'model_v3' END AS model_id FROM ({P}) p""")
 def o60(spark, sf):
     p = A.predictions(spark, sf)
     return dc.assign_model(p, "transaction_id", {"model_v2": 90, "model_v3": 10},

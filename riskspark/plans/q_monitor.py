@@ -104,7 +104,15 @@ def o94(spark, sf):
     return mo.channel_distribution(A.predictions(spark, sf))
 
 
-@register("o95_retrain_gate")
+@register("o95_retrain_gate", f"""WITH {CUTP}, {TRAIN}, {LIVE},
+ts AS ({TRAIN_STATS_SQL}),
+ls AS ({LIVE_STATS_SQL} FROM lv p JOIN ({TX}) t ON p.transaction_id = t.transaction_id),
+tt AS (UNPIVOT ts ON mean_amount, mean_fraud_probability, mean_confidence, fraud_rate
+       INTO NAME metric VALUE training),
+ll AS (UNPIVOT (SELECT mean_amount, mean_fraud_probability, mean_confidence, fraud_rate FROM ls)
+       ON mean_amount, mean_fraud_probability, mean_confidence, fraud_rate INTO NAME metric VALUE live)
+SELECT coalesce(max(CASE WHEN training = 0 THEN 0.0 ELSE abs(live - training) / training END >= 0.2), false)
+       AS should_retrain FROM tt JOIN ll USING (metric) WHERE live IS NOT NULL""")
 def o95(spark, sf):
     _, train, live = _periods(spark, sf)
     rep = mo.drift_report(mo.training_stats(train), mo.live_stats(live, A.transactions(spark, sf)))

@@ -179,17 +179,42 @@ def o72(spark, sf):
                       "outside_usual_city", "outside_active_hours", "decision")
 
 
-@register("o73_rate_limit")
+def _anchored_sql(key_expr: str, seconds: int, limit: int, out: str) -> str:
+    """DuckDB twin: positions, next-anchor index, recursive anchor chain."""
+    us = seconds * 1_000_000
+    return f"""WITH RECURSIVE t AS (SELECT row_id, {key_expr} AS k, ts FROM ({E}) e),
+r AS (SELECT k, row_id, ts, row_number() OVER (PARTITION BY k ORDER BY ts, row_id) - 1 AS p,
+             count(*) OVER (PARTITION BY k) AS size FROM t),
+nx AS (SELECT a.k, a.p, count(b.row_id) AS n, a.size FROM r a LEFT JOIN r b
+         ON a.k = b.k AND b.ts < a.ts + to_microseconds({us}) GROUP BY a.k, a.p, a.size),
+chain(k, p) AS (SELECT k, p FROM r WHERE p = 0
+                UNION ALL SELECT c.k, nx.n FROM chain c JOIN nx ON nx.k = c.k AND nx.p = c.p WHERE nx.n < nx.size),
+w AS (SELECT r.k, r.row_id, r.p, max(c.p) AS ap FROM r JOIN chain c ON c.k = r.k AND c.p <= r.p
+      GROUP BY r.k, r.row_id, r.p)
+SELECT w.row_id, w.k AS {out}, a.ts AS window_start, w.p - w.ap + 1 AS count_in_window,
+       w.p - w.ap + 1 <= {limit} AS allowed
+FROM w JOIN r a ON a.k = w.k AND a.p = w.ap"""
+
+
+def _with_start(out):
+    """The window's start as a wall-clock time, as in the batch form."""
+    at = F.timestamp_micros("window_start_us").cast("timestamp_ntz")
+    return out.select(*[at.alias("window_start") if c == "window_start_us" else F.col(c) for c in out.columns])
+
+
+@register("o73_rate_limit", _anchored_sql("account", 60, 100, "account"))
 def o73(spark, sf):
     """Reference constants: at most 100 requests per key per 60 s window."""
     base = _fresh(spark, "ratelimit")
     r = A.events_txn(spark, sf).select("row_id", "account", "ts")
     schema = _stage(r, f"{base}/in")
     s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
-    return _run(jobs.anchored_window_stream(s, "account", "ts", 60, 100, ["row_id", "account"], ["row_id"]), base)
+    return _with_start(_run(jobs.anchored_window_stream(s, "account", "ts", 60, 100, ["row_id", "account"],
+                                                        ["row_id"]), base))
 
 
-@register("o59_idempotency")
+@register("o59_idempotency", _anchored_sql("CAST(account AS VARCHAR) || ':' || merchant", 86400, 1,
+                                           "idempotency_key"))
 def o59(spark, sf):
     """First call per idempotency key wins for 24 h (key: user + merchant)."""
     base = _fresh(spark, "idem")
@@ -199,7 +224,7 @@ def o59(spark, sf):
     s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
     out = _run(jobs.anchored_window_stream(s, "idempotency_key", "ts", 86400, 1,
                                            ["row_id", "idempotency_key"], ["row_id"]), base)
-    return out.withColumnRenamed("allowed", "processed")
+    return _with_start(out)
 
 
 @register("o08_topic_source")
@@ -210,23 +235,6 @@ def o08(spark, sf):
     return _run(s, base)
 
 
-def _anchored_sql(key_expr: str, seconds: int, limit: int, out: str) -> str:
-    """DuckDB twin: positions, next-anchor index, recursive anchor chain."""
-    us = seconds * 1_000_000
-    return f"""WITH RECURSIVE t AS (SELECT row_id, {key_expr} AS k, ts FROM ({E}) e),
-r AS (SELECT k, row_id, ts, row_number() OVER (PARTITION BY k ORDER BY ts, row_id) - 1 AS p,
-             count(*) OVER (PARTITION BY k) AS size FROM t),
-nx AS (SELECT a.k, a.p, count(b.row_id) AS n, a.size FROM r a LEFT JOIN r b
-         ON a.k = b.k AND b.ts < a.ts + to_microseconds({us}) GROUP BY a.k, a.p, a.size),
-chain(k, p) AS (SELECT k, p FROM r WHERE p = 0
-                UNION ALL SELECT c.k, nx.n FROM chain c JOIN nx ON nx.k = c.k AND nx.p = c.p WHERE nx.n < nx.size),
-w AS (SELECT r.k, r.row_id, r.p, max(c.p) AS ap FROM r JOIN chain c ON c.k = r.k AND c.p <= r.p
-      GROUP BY r.k, r.row_id, r.p)
-SELECT w.row_id, w.k AS {out}, a.ts AS window_start, w.p - w.ap + 1 AS count_in_window,
-       w.p - w.ap + 1 <= {limit} AS allowed
-FROM w JOIN r a ON a.k = w.k AND a.p = w.ap"""
-
-
 @register("o73_rate_limit_batch", _anchored_sql("account", 60, 100, "account"))
 def o73b(spark, sf):
     """Batch form, reference constants: 100 requests per key per 60 s."""
