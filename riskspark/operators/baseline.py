@@ -34,7 +34,7 @@ def velocity_1h(txn: DataFrame, user: str = "account", ts: str = "ts",
     row also emits a probe at ``ts - 1 h - 1 us`` ordered after real rows
     of equal time; one skew-safe ``prior_scan`` over rows and probes counts
     the real rows before each (probes carry a null value, so they are not
-    counted), and the probe counts are joined back on the row key (uniform
+    counted), and the difference is joined back on the row key (uniform
     keys, no skew).
     """
     order_cols = [ts, "_kind", *tie]
@@ -46,11 +46,9 @@ def velocity_1h(txn: DataFrame, user: str = "account", ts: str = "ts",
             .select(user, *tie, F.col("_p.t").alias(ts), F.col("_p.k").alias("_kind"))
             .withColumn("_one", F.when(F.col("_kind") == 0, F.lit(1))))
     s = prior_scan(both, user, order_cols, value="_one", chunk_rows=chunk_rows)
-    counts = s.select(*tie, "_kind", F.col("_prior_nv").alias("_n"))
-    older = counts.where(F.col("_kind") == 1).select(*tie, F.col("_n").alias("_older"))
-    mine = counts.where(F.col("_kind") == 0).select(*tie, F.col("_n").alias("_before"))
-    v = mine.join(older, list(tie)).select(*tie, (F.col("_before") - F.col("_older")).cast("bigint")
-                                           .alias("velocity_1h"))
+    # both counts of a row in one aggregation: rows count up, probes down
+    sign = F.when(F.col("_kind") == 0, F.col("_prior_nv")).otherwise(-F.col("_prior_nv"))
+    v = s.groupBy(*tie).agg(F.sum(sign).cast("bigint").alias("velocity_1h"))
     return txn.join(v, list(tie))
 
 
@@ -109,9 +107,10 @@ def merchant_frequency(txn: DataFrame, user: str = "account", merchant: str = "m
     return b.withColumn("merchant_frequency", freq).drop("_pu", "_pm")
 
 
-def _mode(txn: DataFrame, user: str, col: str, out: str) -> DataFrame:
-    """Most frequent value per user; ties -> smallest value (deterministic)."""
-    counts = txn.groupBy(user, col).agg(F.count(F.lit(1)).alias("_n"))
+def _mode(txn: DataFrame, user: str, col: str, out: str, rows: Column | None = None) -> DataFrame:
+    """Most frequent value per user; ties -> smallest value (deterministic).
+    ``rows`` counts the rows behind a pre-aggregated one."""
+    counts = txn.groupBy(user, col).agg((F.count(F.lit(1)) if rows is None else rows).alias("_n"))
     best = counts.groupBy(user).agg(F.min(F.struct((-F.col("_n")).alias("k"), F.col(col).alias("v"))).alias("_b"))
     return best.select(user, F.col("_b.v").alias(out))
 
@@ -162,16 +161,23 @@ def user_baselines(txn: DataFrame, user: str = "account", amount: str = "amount"
     merchant category is always ''.  Every part is a per-user aggregate, so
     the joins below are between tables of one row per user.
     """
+    counted = F.when(F.col(status) == only, F.col(amount))
     users = txn.groupBy(user).agg(
         F.coalesce(F.min(F.hour(ts)), F.lit(0)).alias("active_hour_start"),
         F.coalesce(F.max(F.hour(ts)), F.lit(23)).alias("active_hour_end"),
-        F.max(ts).alias("_last_ts"))
-    stats = amount_stats(txn, user, amount, status, only)
-    daily = avg_daily_count(txn, user, ts, status, only)
-    loc = txn.withColumn(location, F.col(location).cast("string"))
-    b = (users.join(stats, user, "left").join(daily, user, "left")
-         .join(preferred_method(txn, user, method), user, "left")
-         .join(usual_city(loc, user, location), user, "left"))
+        F.max(ts).alias("_last_ts"),
+        F.when(F.count(counted) > 0, exact_mean(counted)).alias("average_amount"),
+        F.coalesce(F.stddev_pop(counted), F.lit(0.0)).alias("transaction_std_dev"))
+    # one small table for the daily average and both modes: a row for each
+    # day, method and place of a user
+    cells = txn.groupBy(user, F.to_date(ts).alias("_day"), F.col(method).alias("_method"),
+                        F.col(location).cast("string").alias("_place")).agg(
+        F.count(F.lit(1)).alias("_c"), F.count_if(F.col(status) == only).alias("_counted"))
+    days = (cells.where("_counted > 0").groupBy(user, "_day").agg(F.sum("_counted").alias("_c"))
+            .groupBy(user).agg(F.avg(F.col("_c").cast("double")).alias("average_daily_count")))
+    b = (users.join(days, user, "left")
+         .join(_mode(cells, user, "_method", "preferred_payment_method", F.sum("_c")), user, "left")
+         .join(_mode(cells.where("_place is not null"), user, "_place", "usual_city", F.sum("_c")), user, "left"))
     has = F.col("average_amount").isNotNull()
     return b.select(
         F.col(user).alias("user_id"),
