@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney model: counted in Spark, stored as sorted
 hash arrays in the shared folder, memory-mapped by the workers that score.
 
-Bigrams of 64-bit word hashes are counted per task, summed in Spark by slot
-(the leading bits of the bigram's key, so each slot is a range of keys) and
+Bigrams of 64-bit word hashes are counted per task, sent as packed tables of a
+slot and summed by slot in Spark (the leading bits of the bigram's key, so each slot is a range of keys) and
 written as one sorted key array and one count array a slot. Of the words, the
 slots hold what the model needs: how often each was seen, after how many
 different words, and as a context the total and the number of followers seen
@@ -29,14 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import WordHash, atomic_save, hashed_words, mix, mounted, signed, table, work_dir
 
 START, STOP = np.uint64(0x5354415254), np.uint64(0x53544F50)
-#: Bigrams aimed at in a slot; the number of slots follows the input.
-SLOT_TOKENS = 500_000
+#: Tokens aimed at in a slot; the number of slots follows the input.
+SLOT_TOKENS = 2_000_000
 WORD_FIELDS = ("tokens", "types", "total", "one", "two", "more")
 
 
@@ -87,6 +88,26 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
 
+def planes(a: np.ndarray) -> bytes:
+    """32-bit numbers, the lowest bytes first: the others are mostly zero."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def pack(before: np.ndarray, tokens: np.ndarray, c: np.ndarray) -> tuple[int, bytes]:
+    """Bigrams with their counts, each word once (far fewer words than bigrams)."""
+    words, ids = np.unique(np.concatenate([before, tokens]), return_inverse=True)
+    raw = words.astype("<u8").tobytes() + planes(ids[:len(c)]) + planes(ids[len(c):]) + planes(c)
+    return len(words), zstandard.compress(raw, 3)
+
+
+def unpack(n_words: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    words = np.frombuffer(raw, "<u8", n_words)
+    rest = np.frombuffer(raw, np.uint8, offset=8 * n_words).reshape(3, 4, -1).astype(np.int64)
+    first, second, c = (x[0] | x[1] << 8 | x[2] << 16 | x[3] << 24 for x in rest)
+    return words[first], words[second], c
+
+
 def train(docs: DataFrame, flush: int = 6_000_000) -> dict:
     """Count ``docs`` (column text) and write the model. Returns the folder
     and the handful of numbers that workers need besides it."""
@@ -102,9 +123,10 @@ def train(docs: DataFrame, flush: int = 6_000_000) -> dict:
             before, tokens = (np.concatenate(x) for x in zip(*held))
             slot = (pair_keys(before, tokens, bits) >> np.uint64(shift)).astype(np.int32)
             (slot, before, tokens), (c,) = add_up((slot, before, tokens), (np.ones(len(slot), np.int64),))
-            for at in range(0, len(c), 500_000):
-                cut = slice(at, at + 500_000)
-                yield pd.DataFrame({"slot": slot[cut], "before": signed(before[cut]), "word": signed(tokens[cut]), "c": c[cut]})
+            first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            cuts = [slice(a, z) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(slot)])]
+            packed = [pack(before[k], tokens[k], c[k]) for k in cuts]
+            yield pd.DataFrame({"slot": slot[first], "words": [n for n, _ in packed], "blob": [x for _, x in packed]})
 
         for b in batches:
             for at in range(0, len(b), 512):
@@ -119,9 +141,9 @@ def train(docs: DataFrame, flush: int = 6_000_000) -> dict:
 
     def write_pairs(key, rows: pd.DataFrame) -> pd.DataFrame:
         """Write one slot; pass on what its bigrams tell of the words."""
-        before, tokens = (rows[c].to_numpy().view(np.uint64) for c in ("before", "word"))
+        before, tokens, c = (np.concatenate(x) for x in zip(*map(unpack, rows["words"], rows["blob"])))
         keys = pair_keys(before, tokens, bits)
-        (keys, before, tokens), (c,) = add_up((keys, before, tokens), (rows["c"].to_numpy(),))
+        (keys, before, tokens), (c,) = add_up((keys, before, tokens), (c,))
         atomic_save(f"{folder}/pairs/{key[0]}.keys.npy", keys)
         atomic_save(f"{folder}/pairs/{key[0]}.counts.npy", small(c))
         one = np.ones(len(c), np.int64)
@@ -146,7 +168,7 @@ def train(docs: DataFrame, flush: int = 6_000_000) -> dict:
                               "b4": rows["c4"].sum(), **{f"t{i}": int((t == i).sum()) for i in (1, 2, 3, 4)}}])
 
     fields = (*WORD_FIELDS, "c3", "c4")
-    pairs = texts.mapInPandas(count, "slot int, before long, word long, c long")
+    pairs = texts.mapInPandas(count, "slot int, words int, blob binary")
     partial = pairs.groupBy("slot").applyInPandas(write_pairs, "word long, " + ", ".join(f"{f} long" for f in fields))
     words = partial.groupBy("word").agg(*[F.sum(f).alias(f) for f in fields])
     word_slot = F.shiftrightunsigned("word", shift).cast("int") if bits else F.lit(0)
