@@ -9,9 +9,8 @@ log importance / ``temperature`` + Gumbel noise (a hash of the row, so runs
 repeat), with k the number of documents whose stretch lies above the level
 that divides the labelled documents best.
 
-N-grams: words, pairs of words, the first five letters of words, and word
-shapes (runs of capitals, small letters, digits and other signs) and pairs of
-them. The target model is shrunk
+N-grams: words, their first four and six letters, word shapes (runs of
+capitals, small letters, digits and other signs), and pairs of shapes. The target model is shrunk
 to the raw one: p_t = p_r * (c + a) / (E + a), with c the count in the target
 text and E the count expected there from the raw model.
 
@@ -41,7 +40,9 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import WordHash, encode, mix, table, written
 
-BITS, SPAN, PRIOR, TEMPERATURE, MAX_LABELS = 20, 12, 1.0, 0.1, 20_000
+BITS, SPAN, PRIOR, TEMPERATURE, MAX_LABELS = 19, 5, 0.5, 0.1, 20_000
+#: Letters of the stems; parts of which pairs count too (0 words, 1 shapes).
+STEMS, PAIRS = (4, 6), (1,)
 _SHAPES = ((re.compile(rb"[A-Z][A-Z]+"), b"AA"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 
 
@@ -53,7 +54,7 @@ class PartHash(WordHash):
         self.part = part
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(self.part(word))
         return h
@@ -65,15 +66,18 @@ def shape(word: bytes) -> bytes:
     return word[:12]
 
 
-def stem(word: bytes) -> bytes:
-    return word.decode("utf-8", "surrogatepass").lower()[:5].encode("utf-8", "surrogatepass")
+def stem(letters: int):
+    def start(word: bytes) -> bytes:
+        return word.decode("utf-8", "surrogatepass").lower()[:letters].encode("utf-8", "surrogatepass")
+
+    return start
 
 
 class Grams:
     """Buckets of the n-grams that start at each word of the texts."""
 
     def __init__(self, bits: int):
-        self.bits, self.parts = bits, (WordHash(), PartHash(shape), PartHash(stem))
+        self.bits, self.parts = bits, (WordHash(), PartHash(shape), *(PartHash(stem(n)) for n in STEMS))
 
     def __call__(self, texts):
         words, starts = [], [0]
@@ -88,7 +92,7 @@ class Grams:
         for salt, part in enumerate(self.parts):
             h = np.fromiter(map(part.__getitem__, words), np.uint64, len(words))
             out.append((mix(h + np.uint64(salt)) >> step).astype(np.int32))
-            if salt < 2 and len(h):
+            if salt in PAIRS and len(h):
                 pair = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], h[:1]) + np.uint64(salt + 8)) >> step
                 out.append(np.where(last, -1, pair.astype(np.int32)))
         return out, starts
@@ -167,7 +171,7 @@ def kth_largest(keys: DataFrame, k: int, col: str = "key", bins: int = 1024) ->
     return low
 
 
-def best_level(score: np.ndarray, good: np.ndarray, tolerance: float = 2.0) -> float:
+def best_level(score: np.ndarray, good: np.ndarray, tolerance: float = 1.0) -> float:
     """The level with the fewest errors; a lost good document counts
     ``tolerance`` times."""
     order = np.argsort(score, kind="stable")
