@@ -13,7 +13,7 @@ anywhere else too.
    is the same string in all of them, so it stands as one symbol: a run is
    the bytes before it, the anchor, the bytes after it, and a repeated window
    is a common prefix of ``window - inner + 1`` symbols.
-4. Anchors with more than ``wide`` different runs (hot phrases) would make
+4. Anchors with more than ``wide`` rows of runs (hot phrases) would make
    one collection too large for a task; their windows are counted one by one
    by content instead, in an aggregation that combines before the shuffle.
 
@@ -91,7 +91,9 @@ def _texts(b: pd.DataFrame, limit: int = 1_000_000):
         yield b.iloc[held]
 
 
-def run_rows(part: pd.DataFrame, window: int, inner: int, repeated, sent: set) -> pd.DataFrame | None:
+def run_rows(part: pd.DataFrame, window: int, inner: int, repeated, met: dict) -> pd.DataFrame | None:
+    """Where the runs of a batch are; ``met`` gets each run's bytes once and
+    how often the task has met it."""
     flat, starts, owner, g, m, places = anchors([encode(t) for t in part["text"]], window, inner)
     places = places[repeated(g[places])] if len(places) else places
     if not len(places):
@@ -101,16 +103,21 @@ def run_rows(part: pd.DataFrame, window: int, inner: int, repeated, sent: set) -
         run = mix(g[s] * np.uint64(0x9E3779B97F4A7C15) + mix(g[e + window - inner]) + ((places - s) << 20 | (e - s)).astype(np.uint64))
     key, run = signed(g[places]), signed(run)
     left, n = places - s, e - s + 1
-    raw, bodies = flat.tobytes(), []
-    for k, r, a, p, z in zip(key.tolist(), run.tolist(), s.tolist(), places.tolist(), (e + window).tolist()):
-        if (k, r) in sent:  # sent by this task already
-            bodies.append(None)
+    raw = flat.tobytes()
+    for k, r, a, p, z, size in zip(key.tolist(), run.tolist(), s.tolist(), places.tolist(), (e + window).tolist(), n.tolist()):
+        there = met.get((k, r))
+        if there is None:
+            met[k, r] = [1, p - a, size, raw[a:p] + raw[p + inner:z]]
         else:
-            sent.add((k, r))
-            bodies.append(raw[a:p] + raw[p + inner:z])
+            there[0] += 1
     own = owner[places]
-    return pd.DataFrame({"key": key, "run": run, "doc": part["doc"].to_numpy()[own], "start": s - starts[own],
-                         "left": left, "n": n, "body": bodies})
+    return pd.DataFrame({"key": key, "run": run, "doc": part["doc"].to_numpy()[own], "start": s - starts[own], "n": n})
+
+
+def kinds_met(met: dict) -> pd.DataFrame:
+    """The runs a task has met, as rows without a document."""
+    return pd.DataFrame([(k, r, size, left, times, body) for (k, r), (times, left, size, body) in met.items()],
+                        columns=["key", "run", "n", "left", "times", "body"])
 
 
 def collections_of(batches: Iterator[pd.DataFrame], size: int):
@@ -158,32 +165,46 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, id
 
     seen_twice = sketch.repeated(known.select("text"), keys_of, bits)
 
+    schema = "key long, run long, doc long, start int, n int, left int, times long, body binary"
+
+    def whole_rows(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reindex(columns=["key", "run", "doc", "start", "n", "left", "times", "body"])
+        return rows.astype({c: "Int64" for c in ("doc", "start", "left", "times")})
+
     def runs_of(batches: Iterator[pd.DataFrame]):
-        sent: set = set()
+        met: dict = {}
         for b in batches:
             for part in _texts(b):
-                out = run_rows(part, window, inner, seen_twice.value, sent)
+                out = run_rows(part, window, inner, seen_twice.value, met)
                 if out is not None:
-                    yield out
-                if len(sent) > 1_000_000:
-                    sent.clear()  # only saves bytes
-
-    runs = written(known.mapInPandas(
-        runs_of, "key long, run long, doc long, start int, left int, n int, body binary"), "runs")
-    distinct = written(runs.groupBy("key", "run", "left", "n").agg(
-        F.count("*").alias("times"), F.min("body").alias("body")), "distinct-runs")
-    of_key = written(distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"))
-                     .where("kinds > 1 and fewest = 1"), "keys")
-    mixed = distinct.join(of_key.select("key", "kinds"), "key")
+                    yield whole_rows(out)
+                if len(met) > 200_000:  # bounds the task's memory
+                    yield whole_rows(kinds_met(met))
+                    met.clear()
+        if met:
+            yield whole_rows(kinds_met(met))
+
+    runs = written(known.mapInPandas(runs_of, schema), "runs")
+    kinds = runs.where("doc is null").select("key", "run", "left", "n", "times", "body")
+    # anchors with so many rows of runs that they can't be one collection
+    hot = written(kinds.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > wide).select("key"), "hot-anchors")
 
     def construct(batches: Iterator[pd.DataFrame]):
         for rows in collections_of(batches, collection):
-            ats = repeated_windows(rows, span)
-            once = np.flatnonzero(rows["times"].to_numpy() == 1)
-            yield pd.DataFrame({"key": rows["key"].to_numpy()[once], "run": rows["run"].to_numpy()[once],
-                                "ats": [ats[i] for i in once.tolist()]})
-
-    built = (mixed.where(F.col("kinds") <= wide).repartition("key").sortWithinPartitions("key")
+            rows = rows.groupby(["key", "run"], sort=False).agg(
+                left=("left", "first"), n=("n", "first"), times=("times", "sum"), body=("body", "first")).reset_index()
+            of_key = rows.groupby("key")["times"]
+            mixed = (of_key.transform("size") > 1) & (of_key.transform("min") == 1)
+            again = rows[rows["times"] > 1]
+            yield pd.DataFrame({"key": again["key"], "run": again["run"], "ats": None})  # repeated as a whole
+            rows = rows[mixed]
+            if len(rows):
+                ats = repeated_windows(rows, span)
+                once = [i for i, t in enumerate(rows["times"]) if t == 1 and len(ats[i])]
+                yield pd.DataFrame({"key": rows["key"].to_numpy()[once], "run": rows["run"].to_numpy()[once],
+                                    "ats": [ats[i] for i in once]})
+
+    built = (kinds.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
              .mapInPandas(construct, "key long, run long, ats array<int>"))
 
     def each_window(batches: Iterator[pd.DataFrame]):
@@ -192,16 +213,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, id
                 yield pd.DataFrame({"key": key, "run": run, "times": times, "at": range(n), "hash": signed(np.array(
                     [xxhash.xxh3_64_intdigest(body[i:i + window - inner], left - i) for i in range(n)], np.uint64))})
 
-    single = written(mixed.where(F.col("kinds") > wide).mapInPandas(
+    single = written(kinds.join(hot, "key", "left_semi").mapInPandas(
         each_window, "key long, run long, times long, at int, hash long"), "windows")
     again = written(single.groupBy("key", "hash").agg(F.sum("times").alias("times")).where("times > 1").drop("times"), "again")
-    counted = (single.where("times = 1").join(again, ["key", "hash"]).groupBy("key", "run")
-               .agg(F.collect_list("at").alias("ats")))  # of one run
-    judged = written(
-        built.where(F.size("ats") > 0).unionByName(counted)
-        .unionByName(distinct.where("times > 1").select("key", "run", F.lit(None).cast("array<int>").alias("ats"))), "judged")
-    hits = (runs.drop("body", "left").join(judged, ["key", "run"]).groupBy("doc")
-            .agg(F.collect_list(F.struct("start", "n", "ats")).alias("hits")))  # of one document
+    counted = (single.select("key", "run", "at", "hash").join(again, ["key", "hash"]).groupBy("key", "run")
+               .agg(F.collect_set("at").alias("ats")))  # of one run
+    judged = written(built.unionByName(counted), "judged")
+    hits = (runs.where("doc is not null").select("key", "run", "doc", "start", "n").join(judged, ["key", "run"])
+            .groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ats")).alias("hits")))  # of one document
 
     def cut(batches: Iterator[pd.DataFrame]):
         for b in batches:
