@@ -12,6 +12,7 @@ that follows time, never results.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,14 @@ class Repeated:
     def __init__(self, maps: np.ndarray, bits: int):
         self.maps, self.bits = maps, bits
 
+    def __getstate__(self):
+        """Sent compressed: few cells are set where keys seldom repeat."""
+        return self.bits, self.maps.shape, zlib.compress(self.maps.tobytes(), 1)
+
+    def __setstate__(self, state):
+        self.bits, shape, packed = state
+        self.maps = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(shape)
+
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         yes = np.ones(len(keys), bool)
         for row in range(len(self.maps)):
