@@ -99,3 +99,27 @@ def test_find_and_redact(frame, awkward):
     df = frame([(1, "write a.b@example.org now", 25), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert sorted((tuple(r) for r in pii.redact(df, None).collect())) == [(1, "write [email] now", 17), (2, None, None), (3, "clean", 5)]
     assert pii.fit(frame([])) is None
+
+
+def test_written_at_is_read_without_a_digit(frame, spark):
+    w = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    far = "the tree stood near water and people walked there every day "
+    for address in ("jane.doe(at)mail.example.org", "jane.doe[at]mail.example.org", "robert.k.alexander.montgomery(at)research.example.org"):
+        text = f"{far}write {address} for more, {far}"
+        start = text.index(address)
+        (base, every), = pii.spans_of(w, [text])
+        assert base == [] and (0, start, start + len(address)) in every, (address, every)
+        got = pii.redact(frame([(1, text)]), w).first()["text"]
+        assert address not in got and "[email]" in got
+    assert pii.spans_of(w, ["look (at) this", "format(at)", "nothing here"]) == [([], [])] * 3
+
+
+def test_stretches_hold_whole_words_around_an_at():
+    long = "a" * 60 + "(at)" + "b" * 60 + ".example.org"
+    (a, b), = pii.stretches(f"{'x ' * 50}{long} y{' x' * 50}", pii._AT)
+    assert a <= 100 and b >= 100 + len(long) and pii.stretches("plain (text) at [all]", pii._AT) == []
+    for t in ("1 x@y " * 50, "9" * 30 + "y" * 50 + "@" + "z" * 90 + " 7", "@" * 500, "x[AT]y (at) " * 9):
+        for trigger in (pii._TRIGGER, pii._AT):
+            parts = pii.stretches(t, trigger)
+            assert all(a < b <= len(t) for a, b in parts) and all(p[1] < q[0] for p, q in zip(parts, parts[1:]))
+            assert all(any(a <= m.start() and m.end() <= b for a, b in parts) for m in trigger.finditer(t))
