@@ -216,6 +216,18 @@ def test_planted_items_are_found(spark):
     assert want <= got
 
 
+def test_short_items_and_other_scripts(frame):
+    zh, th = "春眠不觉晓，处处闻啼鸟。夜来风雨声，花落知多少。", "สวัสดีชาวโลกวันนี้อากาศดีมาก"
+    items = frame([(1, "Blue whale song"), (2, zh), (3, th), (4, "He said \u201cgo home now\u201d and left \u2014 at once"), (5, "?!")],
+                  "item_id long, text string")
+    rows = [(1, "a blue whale song, heard"), (2, "blue song whale"), (3, "他说" + zh.replace("，", "") + "完"), (4, "x " + th),
+            (5, 'he said "go home now" and left\u00a0- at\u00a0once'), (6, "no ?! match"), (7, "晓春鸟啼"), (8, "blue whale")]
+    found = got_rows(tiling.contaminated(frame(rows), items, short=True), "doc_id", "item_id")
+    assert found == [(1, 1), (3, 2), (4, 3), (5, 4)]
+    assert [r[0] for r in got_rows(tiling.clean(frame(rows), items, short=True), "doc_id")] == [2, 6, 7, 8]
+    assert tiling.split_words("Größe\u00a0l\u2019été") == ["größe".encode(), b"l", "été".encode()]
+
+
 # 5 quality ----------------------------------------------------------------
 
 def test_resampling_drops_what_labels_call_bad(frame):
