@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskspark.llm import chat, negatives, repair
 from riskspark.llm.bpe import op6_bpe_encode
 from riskspark.llm.kneser import op2_kneser_ney
 from riskspark.llm.ngram_join import op8_ngram_jaccard
@@ -24,5 +25,12 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_chat_windows": chat.op12_chat_windows,
+    "op13_repair": repair.op13_repair,
+}
+ORACLE: dict[str, str] = {
+    "op11_hard_negatives": negatives.ORACLE_SQL,
+    "op12_chat_windows": chat.ORACLE_SQL,
+    "op13_repair": repair.ORACLE_SQL,
 }
-ORACLE: dict[str, str] = {}
