@@ -13,9 +13,14 @@ anywhere else too.
    is the same string in all of them, so it stands as one symbol: a run is
    the bytes before it, the anchor, the bytes after it, and a repeated window
    is a common prefix of ``window - inner + 1`` symbols.
-4. Anchors with more than ``wide`` rows of runs (hot phrases) would make
-   one collection too large for a task; their windows are counted one by one
-   by content instead, in an aggregation that combines before the shuffle.
+4. Rows of an anchor that tasks have met more than ``wide`` times collapse to
+   distinct runs first. An anchor with more than ``wide`` distinct runs (a hot
+   phrase) would make one collection too large for a task, so it is split by
+   the bytes next to it: of a window's other symbols at least half stand
+   before the anchor or half behind it, and windows that are equal agree in
+   them. Those bytes join the anchor's symbol, the windows get shorter by as
+   many symbols, and parts that are still too large are split again, down to
+   windows of one symbol, which are equal if their symbols are.
 
 The temporary files of step 3 are deleted as soon as a collection is done;
 collections hold at most ``collection`` runs and those of one more anchor.
@@ -121,13 +126,13 @@ def kinds_met(met: dict) -> pd.DataFrame:
 
 
 def collections_of(batches: Iterator[pd.DataFrame], size: int):
-    """Rows sorted by key, cut between keys into pieces of about ``size``."""
+    """Rows sorted by part, cut between parts into pieces of about ``size``."""
     held: list[pd.DataFrame] = []
     for b in batches:
         held.append(b)
         if sum(map(len, held)) >= size:
             rows = pd.concat(held, ignore_index=True)
-            cut = int(np.searchsorted(rows["key"].to_numpy(), rows["key"].iloc[-1]))
+            cut = int(np.searchsorted(rows["part"].to_numpy(), rows["part"].iloc[-1]))
             if cut:
                 yield rows.iloc[:cut]
             held = [rows.iloc[cut:]]
@@ -139,14 +144,83 @@ def collections_of(batches: Iterator[pd.DataFrame], size: int):
 
 def repeated_windows(rows: pd.DataFrame, span: int) -> list[np.ndarray]:
     """Which windows of each run occur at another place of the collection."""
-    ids = np.unique(rows["key"].to_numpy(), return_inverse=True)[1] + 257
+    ids = np.unique(rows["part"].to_numpy(), return_inverse=True)[1] + 257
     strings = []
-    for body, left, key in zip(rows["body"], rows["left"].to_numpy(), ids.tolist()):
+    for body, left, part in zip(rows["body"], rows["left"].to_numpy(), ids.tolist()):
         b = np.frombuffer(body, np.uint8).astype(np.uint16) + np.uint16(1)
-        strings.append(np.concatenate([b[:left], np.array([key], np.uint16), b[left:]]))
+        strings.append(np.concatenate([b[:left], np.array([part], np.uint16), b[left:]]))
     return bwt.shared(strings, span)
 
 
+#: A run, or its windows ``at`` .. ``at + n - 1``, in a collection ``part``.
+PART = "part long, key long, run long, left int, n int, at int, times long, body binary"
+
+
+def construct(span: int, size: int):
+    """The windows that are repeated in collections of whole parts."""
+    def build(batches: Iterator[pd.DataFrame]):
+        for rows in collections_of(batches, size):
+            rows = rows.groupby(["part", "run"], sort=False).agg(
+                key=("key", "first"), left=("left", "first"), n=("n", "first"), at=("at", "first"), times=("times", "sum"),
+                body=("body", "first")).reset_index()
+            of_part = rows.groupby("part")["times"]
+            mixed = (of_part.transform("size") > 1) & (of_part.transform("min") == 1)
+            again = rows[rows["times"] > 1]
+            yield pd.DataFrame({"key": again["key"], "run": again["run"], "ats": None})  # repeated as a whole
+            rows = rows[mixed]
+            if len(rows):
+                ats = repeated_windows(rows, span)
+                once = [i for i, t in enumerate(rows["times"]) if t == 1 and len(ats[i])]
+                yield pd.DataFrame({"key": rows["key"].to_numpy()[once], "run": rows["run"].to_numpy()[once],
+                                    "ats": [ats[i] + rows["at"].iloc[i] for i in once]})
+
+    return build
+
+
+def halves(span: int):
+    """Splits parts by the ``span // 2`` bytes before the anchor's symbol, for
+    windows that hold them, and by those behind it for the others."""
+    half = span // 2
+
+    def split(batches: Iterator[pd.DataFrame]):
+        for b in batches:
+            out = []
+            for part, key, run, left, n, at, times, body in b.itertuples(index=False):
+                low = left - n + 1  # bytes before the symbol in the last window
+                if left >= half:
+                    least = max(half, low)
+                    out.append((xxhash.xxh3_64_intdigest(body[left - half:left], part & (2 ** 64 - 1)), key, run, left - half,
+                                left - least + 1, at, times, body[:left - half] + body[left:left + span - 1 - least]))
+                if low < half:
+                    most = min(left, half - 1)
+                    out.append((xxhash.xxh3_64_intdigest(body[left:left + half], ~part & (2 ** 64 - 1)), key, run, most,
+                                most - low + 1, at + left - most, times, body[left - most:left] + body[left + half:]))
+            frame = pd.DataFrame(out, columns=["part", "key", "run", "left", "n", "at", "times", "body"])
+            frame["part"] = signed(frame["part"].to_numpy(np.uint64))
+            yield frame
+
+    return split
+
+
+def split_hot(parts: DataFrame, span: int, wide: int, size: int) -> DataFrame:
+    """Repeated windows of distinct runs in parts of any size."""
+    found = "key long, run long, ats array<int>"
+    done = parts.where("times > 1").select("key", "run", F.lit(None).cast("array<int>").alias("ats"))
+    while True:
+        runs = parts.groupBy("part").agg(F.count(F.lit(1)).alias("runs"), F.min("times").alias("least"))
+        if span == 1:  # equal symbols are equal windows
+            same = runs.where("runs > 1").select("part")
+            return done.unionByName(parts.join(same, "part", "left_semi").where("times = 1")
+                                    .select("key", "run", F.array("at").alias("ats")))
+        judged = written(runs.where("runs > 1 and least = 1"), "parts")  # others have nothing to find
+        small = parts.join(judged.where(F.col("runs") <= wide).select("part"), "part", "left_semi")
+        done = written(done.unionByName(small.repartition("part").sortWithinPartitions("part").mapInPandas(construct(span, size), found)), "judged")
+        if judged.where(F.col("runs") > wide).isEmpty():
+            return done
+        hot = parts.join(judged.where(F.col("runs") > wide).select("part"), "part", "left_semi")
+        parts, span = written(hot.mapInPandas(halves(span), PART), "halves"), span - span // 2
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, id_col: str = "doc_id",
                    text_col: str = "text", bits: int = sketch.BITS, wide: int = 2000,
                    collection: int = 6000) -> DataFrame:
@@ -185,40 +259,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, id
             yield whole_rows(kinds_met(met))
 
     runs = written(known.mapInPandas(runs_of, schema), "runs")
-    kinds = runs.where("doc is null").select("key", "run", "left", "n", "times", "body")
+    kinds = runs.where("doc is null").select(F.col("key").alias("part"), "key", "run", "left", "n", F.lit(0).alias("at"), "times", "body")
     # anchors with so many rows of runs that they can't be one collection
-    hot = written(kinds.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > wide).select("key"), "hot-anchors")
-
-    def construct(batches: Iterator[pd.DataFrame]):
-        for rows in collections_of(batches, collection):
-            rows = rows.groupby(["key", "run"], sort=False).agg(
-                left=("left", "first"), n=("n", "first"), times=("times", "sum"), body=("body", "first")).reset_index()
-            of_key = rows.groupby("key")["times"]
-            mixed = (of_key.transform("size") > 1) & (of_key.transform("min") == 1)
-            again = rows[rows["times"] > 1]
-            yield pd.DataFrame({"key": again["key"], "run": again["run"], "ats": None})  # repeated as a whole
-            rows = rows[mixed]
-            if len(rows):
-                ats = repeated_windows(rows, span)
-                once = [i for i, t in enumerate(rows["times"]) if t == 1 and len(ats[i])]
-                yield pd.DataFrame({"key": rows["key"].to_numpy()[once], "run": rows["run"].to_numpy()[once],
-                                    "ats": [ats[i] for i in once]})
-
-    built = (kinds.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-             .mapInPandas(construct, "key long, run long, ats array<int>"))
-
-    def each_window(batches: Iterator[pd.DataFrame]):
-        for b in batches:
-            for key, run, left, n, times, body in zip(b["key"], b["run"], b["left"], b["n"], b["times"], b["body"]):
-                yield pd.DataFrame({"key": key, "run": run, "times": times, "at": range(n), "hash": signed(np.array(
-                    [xxhash.xxh3_64_intdigest(body[i:i + window - inner], left - i) for i in range(n)], np.uint64))})
-
-    single = written(kinds.join(hot, "key", "left_semi").mapInPandas(
-        each_window, "key long, run long, times long, at int, hash long"), "windows")
-    again = written(single.groupBy("key", "hash").agg(F.sum("times").alias("times")).where("times > 1").drop("times"), "again")
-    counted = (single.select("key", "run", "at", "hash").join(again, ["key", "hash"]).groupBy("key", "run")
-               .agg(F.collect_set("at").alias("ats")))  # of one run
-    judged = written(built.unionByName(counted), "judged")
+    hot = written(kinds.groupBy("part").agg(F.count("*").alias("rows")).where(F.col("rows") > wide).select("part"), "hot-anchors")
+    built = (kinds.join(hot, "part", "left_anti").repartition("part").sortWithinPartitions("part")
+             .mapInPandas(construct(span, collection), "key long, run long, ats array<int>"))
+    distinct = kinds.join(hot, "part", "left_semi").groupBy("part", "key", "run").agg(
+        F.first("left").alias("left"), F.first("n").alias("n"), F.first("at").alias("at"), F.sum("times").alias("times"), F.first("body").alias("body"))
+    judged = written(built.unionByName(split_hot(written(distinct, "distinct"), span, wide, collection)), "judged")
     hits = (runs.where("doc is not null").select("key", "run", "doc", "start", "n").join(judged, ["key", "run"])
             .groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ats")).alias("hits")))  # of one document
 

@@ -356,7 +356,7 @@ def brute_suffix(rows, window):
 SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@pytest.mark.parametrize("how", [{}, {"wide": 1}, {"bits": 12, "collection": 50}])
+@pytest.mark.parametrize("how", [{}, {"wide": 1}, {"wide": 4}, {"bits": 12, "collection": 50}])
 def test_suffix_dedup_matches_brute_force(frame, how):
     rng = random.Random(11)
     x = "".join(rng.choice("ab") for _ in range(400))
