@@ -28,7 +28,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from riskspark.llm.common import encode, table
+from riskspark.llm.common import Bounded, encode, table
 
 END = "</w>"
 
@@ -73,7 +73,7 @@ def newer(text: str) -> bool:
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -95,7 +95,7 @@ class WordBpe:
         for t in self.vocab:
             s = self.symbols(t[:-len(END)], True) if t.endswith(END) and t != END else list(t)
             self.inside.update(zip(s, s[1:]))
-        self.remember, self.seen, self.fragments = remember, {}, {}
+        self.seen, self.fragments = Bounded(), Bounded()
 
     @staticmethod
     def symbols(word: str, ends: bool) -> list[str]:
@@ -139,9 +139,7 @@ class WordBpe:
                 key = "".join(f)  # an inner fragment ends without the word end
                 ids = self.fragments.get(key)
                 if ids is None:
-                    if len(self.fragments) >= self.remember:
-                        self.fragments.clear()
-                    ids = self.fragments[key] = self.merge(f)
+                    ids = self.fragments.keep(key, self.merge(f), 2 * len(key) + 24 * len(f))
                 out += ids
         return array("I", out).tobytes()
 
@@ -151,9 +149,7 @@ class WordBpe:
         if found is None:
             found = b"".join(map(self.word, self.split(token)))
             if len(token) < 200:
-                if len(self.seen) >= self.remember:
-                    self.seen.clear()
-                self.seen[token] = found
+                self.seen.keep(token, found, 2 * len(token) + len(found))
         return found
 
     def merge_long(self, fragment: list[str]) -> list[int]:
@@ -221,16 +217,6 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
-def loaded(path: str) -> WordBpe:
-    """One encoder for each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -248,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
               "decoded_sha256 string" + (", ids array<int>" if keep_ids else ""))
 
     def run(batches: Iterator[pd.DataFrame]):
-        bpe = loaded(path)
+        bpe = WordBpe(path)  # freed with the task, as workers go on to other stages
         for b in batches:
             for at in range(0, len(b), 512):
                 part = b.iloc[at:at + 512]

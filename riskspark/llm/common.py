@@ -40,6 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so
+    (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mounted(path: str) -> str:
     """The path workers can open or map; only mounted folders qualify."""
     plain = path[len("file:"):] if path.startswith("file:") else path
@@ -58,14 +67,30 @@ def atomic_save(path: str, array: np.ndarray) -> None:
     os.replace(part, path)
 
 
-class WordHash(dict):
+#: Bytes that one worker's memory of words may take, and what an entry takes
+#: besides the word itself (its slot in the dict, its object, its value).
+REMEMBERED, ENTRY = 32 << 20, 140
+
+
+class Bounded(dict):
+    """A memory of at most ``REMEMBERED`` bytes; a full one starts anew."""
+
+    held = 0
+
+    def keep(self, key, value, size: int):
+        self.held += size + ENTRY
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = size + ENTRY
+        self[key] = value
+        return value
+
+
+class WordHash(Bounded):
     """word (bytes) -> 64-bit hash, remembering the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        return self.keep(word, xxhash.xxh3_64_intdigest(word), len(word))
 
 
 def encode(text: str | None) -> bytes:
