@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import WordHash, encode, grams, signed, table, written
+from riskspark.llm.common import WordHash, encode, free, grams, signed, table, written
 
 LEAST, COVERAGE, BITS = 5, 0.5, 26
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -238,10 +238,10 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
+    ID, TH = free(docs, "__id"), free(docs, "__th")
     bad = (contaminated(docs, items, id_col=id_col, text_col=text_col, **how)
-           .select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct())
-    return docs.join(bad, F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64(F.col(text_col)) == F.col("__th")), "left_anti")
+           .select(F.col(id_col).alias(ID), F.col("th").alias(TH)).distinct())
+    return docs.join(bad, docs[id_col].cast("bigint").eqNullSafe(bad[ID]) & (F.xxhash64(docs[text_col]) == bad[TH]), "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

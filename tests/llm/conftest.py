@@ -18,5 +18,6 @@ def awkward(frame):
             (None, None), (4, "  \t\n "), (5, long), (6, long), (7, "é" * 3000), (8, "a" * 2000), (9, "a " * 700),
             (10, "Mail a.b@example.org or +1 (555) 123-4567, 10.0.0.1"), (10, "other text of the same id")]
     schema = ("doc_id long, text string, id string, th string, key string, n string, node string, hits string, doc string, "
-              "bucket string, own string, block string, item string, lang string")
-    return frame([(*r, *["x"] * 12) for r in rows], schema)
+              "bucket string, own string, block string, item string, lang string, "
+              "__id string, __good string, __th string, __key string, __log_importance string, __long string, __label_id string")
+    return frame([(*r, *["x"] * 19) for r in rows], schema)
