@@ -14,28 +14,45 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.calendar import online_calendar, seconds_between
 from riskspark.functions.numeric import exact_mean, round_half_away
 from riskspark.functions.rules import flag_array, risk_flag_rules
-from riskspark.plans.prior import DEFAULT_CHUNK_ROWS, prior_scan
-
-HOUR_US = 3_600_000_000
+from riskspark.plans.prior import CHUNK, DEFAULT_CHUNK_ROWS, chunked, prior_scan
 
 
 def velocity_1h(txn: DataFrame, user: str = "account", ts: str = "ts",
                 tie: Sequence[str] = ("row_id",), chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """O-30: earlier rows of the user with ``ts >= this ts - 1 hour``.
 
-    = rows before this one minus rows strictly older than one hour.  The
-    second count is an as-of lookup, done without a per-user window: every
-    row also emits a probe at ``ts - 1 h - 1 us`` ordered after real rows
-    of equal time; one skew-safe ``prior_scan`` over rows and probes counts
-    the real rows before each (probes carry a null value, so they are not
-    counted), and the difference is joined back on the row key (uniform
-    keys, no skew).
+    = rows before this one minus rows strictly older than one hour, both
+    window counts of the account (one exchange).  Accounts above
+    ``chunk_rows`` rows take ``hour_probes`` instead.
+    """
+    cold, hot = chunked(txn, user, [ts, *tie], chunk_rows)
+    out = older_than_hour(cold, user, ts, "_older")
+    w = Window.partitionBy(user, CHUNK).orderBy(ts, *tie)
+    out = out.withColumn("velocity_1h", (F.row_number().over(w) - 1 - F.col("_older")).cast("bigint")).drop("_older", CHUNK)
+    if hot is None:
+        return out
+    return out.unionByName(hot.drop(CHUNK).join(hour_probes(hot, user, ts, tie, chunk_rows), list(tie)))
+
+
+def older_than_hour(txn: DataFrame, user: str, ts: str, out: str) -> DataFrame:
+    """Rows of the user (and chunk) more than an hour before each row."""
+    frame = (f"count(1) OVER (PARTITION BY `{user}`, {CHUNK} ORDER BY `{ts}` RANGE BETWEEN UNBOUNDED PRECEDING "
+             "AND INTERVAL '01:00:00.000001' HOUR TO SECOND PRECEDING)")
+    return txn.withColumn(out, F.expr(frame))
+
+
+def hour_probes(txn: DataFrame, user: str, ts: str, tie: Sequence[str], chunk_rows: int) -> DataFrame:
+    """(tie, velocity_1h) without a per-user window: every row also emits a
+    probe at ``ts - 1 h - 1 us`` ordered after real rows of equal time; one
+    skew-safe ``prior_scan`` over rows and probes counts the real rows before
+    each (probes carry a null value, so they are not counted), and the
+    difference is taken on the row key (uniform keys, no skew).
     """
     order_cols = [ts, "_kind", *tie]
     # each row and its probe from one generator (no union of literal branches)
@@ -48,8 +65,7 @@ def velocity_1h(txn: DataFrame, user: str = "account", ts: str = "ts",
     s = prior_scan(both, user, order_cols, value="_one", chunk_rows=chunk_rows)
     # both counts of a row in one aggregation: rows count up, probes down
     sign = F.when(F.col("_kind") == 0, F.col("_prior_nv")).otherwise(-F.col("_prior_nv"))
-    v = s.groupBy(*tie).agg(F.sum(sign).cast("bigint").alias("velocity_1h"))
-    return txn.join(v, list(tie))
+    return s.groupBy(*tie).agg(F.sum(sign).cast("bigint").alias("velocity_1h"))
 
 
 def seen_before(txn: DataFrame, cols: dict[str, str], user: str = "account", ts: str = "ts",
@@ -63,13 +79,17 @@ def seen_before(txn: DataFrame, cols: dict[str, str], user: str = "account", ts:
 
 
 def exists_lookup(probes: DataFrame, history: DataFrame, keys: Sequence[str],
-                  out: str = "seen") -> DataFrame:
+                  out: str = "seen", as_of: Sequence[str] = ()) -> DataFrame:
     """O-31 ad hoc: flag probes whose ``keys`` exist in ``history``
-    (EXISTS as a column).  The history side is reduced to its distinct keys
-    (map-side) before one left join; ``existing`` / ``missing`` give the
-    semi- and anti-join forms."""
-    hk = history.select(*keys).distinct().withColumn(out, F.lit(True))
-    return probes.join(hk, list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    (EXISTS as a column); with ``as_of`` (time, ties) only rows of the
+    history that stand before the probe count.  The history side is reduced
+    to one row per key, its first (map-side), before one left join;
+    ``existing`` / ``missing`` give the semi- and anti-join forms."""
+    at = F.struct(*[F.col(c) for c in as_of]) if as_of else F.lit(True)
+    first = history.groupBy(*keys).agg(F.min(at).alias("_first"))
+    found = F.col("_first").isNotNull()
+    return (probes.join(first, list(keys), "left").withColumn(out, F.coalesce(found & (F.col("_first") < at), F.lit(False)) if as_of else found)
+            .drop("_first"))
 
 
 def existing(probes: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -272,11 +292,26 @@ def online_features(txn: DataFrame, baselines: DataFrame, history: DataFrame | N
         h = h.withColumn("new_device", F.lit(False))
     if history is not None:
         h = h.join(txn.select(*tie), list(tie), "left_semi")
-    f = lookup_baseline(h.select("*", *online_calendar(ts)), baselines, user)
+    return _vector(lookup_baseline(h.select("*", *online_calendar(ts)), baselines, user), user, tie)
+
+
+def running_online_features(txn: DataFrame, user: str = "account", ts: str = "ts", tie: Sequence[str] = ("row_id",),
+                            with_gap: bool = False, keep: Sequence[str] = (), chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """O-45 for every transaction, each against the baseline and the history
+    of its account's rows before it (no snapshot, no cutoff)."""
+    from riskspark.operators.running import running_baselines
+
+    f = running_baselines(txn, user, ts=ts, tie=tie, chunk_rows=chunk_rows).select("*", *online_calendar(ts))
+    gap = F.coalesce(F.greatest(F.lit(0.0), seconds_between(F.col("_prev_ts"), F.col(ts))), F.lit(0.0)) if with_gap else F.lit(0.0)
+    return _vector(f.withColumns({"_gap": gap, "new_merchant": ~F.col("merchant_seen"), "new_location": ~F.col("location_seen"),
+                                  "new_device": F.lit(False)}), user, tie, keep)
+
+
+def _vector(f: DataFrame, user: str, tie: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     f = change_flags(baseline_deviation(f))
     f = f.withColumn("risk_flags", flag_array(risk_flag_rules()))
     return f.select(
-        *tie, F.col(user).alias("user_id"), "amount", "amount_deviation", "amount_z_score",
+        *tie, *keep, F.col(user).alias("user_id"), "amount", "amount_deviation", "amount_z_score",
         "velocity_1h", "hour_of_day", "day_of_week", "month", "is_weekend",
         "outside_active_hours", (~F.col("_has_baseline")).alias("is_first_transaction"),
         "new_merchant", "new_device", "new_location", "payment_method_changed",

@@ -71,6 +71,23 @@ def hot_keys(df: DataFrame, key: str, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     return table, max(1, math.ceil(hot_rows / chunk_rows))
 
 
+def chunked(df: DataFrame, key: str, order: Sequence[str], chunk_rows: int = DEFAULT_CHUNK_ROWS,
+            max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of cold keys with ``CHUNK`` 0, rows of hot keys with the chunk
+    they are in, None without hot keys)."""
+    hot, chunks = hot_keys(df, key, chunk_rows, max_hot_keys)
+    if hot is None:
+        return df.withColumn(CHUNK, F.lit(0)), None
+    hb = F.broadcast(hot.withColumnRenamed(key, "_hk"))
+    same = F.col(key).eqNullSafe(F.col("_hk"))  # a null key may be hot as well
+    cold = df.join(hb, same, "left_anti").withColumn(CHUNK, F.lit(0))
+    # materialised: the sampled range bounds (hence chunk ids) must be
+    # identical for the rows, the chunk summaries and the first-seen fixes
+    return cold, cut_lineage(df.join(hb, same, "left_semi")
+                             .repartitionByRange(chunks, *_asc([key, *order]))
+                             .withColumn(CHUNK, F.spark_partition_id() + 1))
+
+
 def prior_scan(df: DataFrame, key: str, order: Sequence[str], value: str | None = None,
                firsts: Sequence[str] = (), chunk_rows: int = DEFAULT_CHUNK_ROWS,
                max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
@@ -83,20 +100,8 @@ def prior_scan(df: DataFrame, key: str, order: Sequence[str], value: str | None
     """
     order = list(order)
     t = order[0]
-    hot, chunks = hot_keys(df, key, chunk_rows, max_hot_keys)
-    if hot is None:
-        base = df.withColumn(CHUNK, F.lit(0))
-        hot_part = None
-    else:
-        hb = F.broadcast(hot.withColumnRenamed(key, "_hk"))
-        same = F.col(key).eqNullSafe(F.col("_hk"))  # a null key may be hot as well
-        cold = df.join(hb, same, "left_anti").withColumn(CHUNK, F.lit(0))
-        # materialised: the sampled range bounds (hence chunk ids) must be
-        # identical for the rows, the chunk summaries and the first-seen fixes
-        hot_part = cut_lineage(df.join(hb, same, "left_semi")
-                               .repartitionByRange(chunks, *_asc([key, *order]))
-                               .withColumn(CHUNK, F.spark_partition_id() + 1))
-        base = cold.unionByName(hot_part)
+    cold, hot_part = chunked(df, key, order, chunk_rows, max_hot_keys)
+    base = cold if hot_part is None else cold.unionByName(hot_part)
 
     w = Window.partitionBy(key, CHUNK).orderBy(*_asc(order))
     prior = w.rowsBetween(Window.unboundedPreceding, -1)

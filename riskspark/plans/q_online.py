@@ -1,9 +1,8 @@
 """Registered queries for online history and baselines (O-30..O-46).
 
-Batch form of the online path: baselines are a snapshot of all rows
-before a cutoff (80 % of the time span, truncated to the hour); rows after
-the cutoff are scored against that snapshot, and history counters are
-past-only over all rows.
+O-40..O-46 judge every transaction by the baseline of its account's rows
+before it (``operators.running``).  Only the upsert (O-39) has two states of
+the baseline table: the one at a cutoff and the one at the end.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from riskspark import adapters as A
 from riskspark.functions.calendar import online_calendar, ntz_lit
 from riskspark.functions.rules import flag_array, risk_flag_rules
 from riskspark.operators import baseline as bl
+from riskspark.operators.running import running_baselines
 from riskspark.plans.registry import r6, register
 
 E = A.EVENTS_TXN_SQL
@@ -94,14 +94,14 @@ def o31(spark, sf):
         "row_id", "merchant_seen", "location_seen")
 
 
-@register("o31_exists_lookup", f"""WITH {T}, {CUT}, {OLD}, {NEW}
+@register("o31_exists_lookup", f"""WITH {T}
 SELECT row_id, account, merchant,
-       EXISTS (SELECT 1 FROM old WHERE old.account = new.account AND old.merchant = new.merchant) AS seen
-FROM new""")
+       EXISTS (SELECT 1 FROM t p WHERE p.account = t.account AND p.merchant = t.merchant
+               AND (p.ts < t.ts OR (p.ts = t.ts AND p.row_id < t.row_id))) AS seen
+FROM t""")
 def o31b(spark, sf):
-    _, old, new = _split(spark, sf)
-    return bl.exists_lookup(new.select("row_id", "account", "merchant"), old,
-                            ["account", "merchant"])
+    t = A.events_txn(spark, sf).select("row_id", "account", "merchant", "ts")
+    return bl.exists_lookup(t, t, ["account", "merchant"], as_of=["ts", "row_id"]).drop("ts")
 
 
 @register("o32_merchant_frequency", f"""WITH {T}, {HIST_SQL}
@@ -181,15 +181,31 @@ def o39(spark, sf):
     return bl.upsert_baselines(bl.user_baselines(old), fresh)
 
 
-SNAP = f"""WITH {T}, {CUT}, {OLD}, {NEW}, {HIST_SQL.strip()},
-b AS ({baseline_sql('old')}),
+#: Per row the earlier rows of its account, one by one, and the baseline they
+#: make: a plain self-join, independent of the prefix states it checks.
+RUNNING = f"""WITH {T}, {HIST_SQL.strip()},
+past AS (
+  SELECT t.row_id AS k, p.*, CAST(CAST(p.amount AS DECIMAL(18,2)) * 100 AS HUGEINT) AS cents
+  FROM t JOIN t p ON p.account = t.account AND (p.ts < t.ts OR (p.ts = t.ts AND p.row_id < t.row_id))),
+stats AS (
+  SELECT k, count(*) FILTER (status = 'PENDING') AS nv, sum(CAST(amount AS DECIMAL(18,2))) FILTER (status = 'PENDING') AS total,
+    sum(cents) FILTER (status = 'PENDING') AS s, sum(cents * cents) FILTER (status = 'PENDING') AS s2,
+    count(DISTINCT CAST(ts AS DATE)) FILTER (status = 'PENDING') AS days, min(hour(ts)) AS active_hour_start, max(hour(ts)) AS active_hour_end
+  FROM past GROUP BY k),
+methods AS (SELECT k, payment_channel AS v, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, payment_channel) AS rn
+            FROM past GROUP BY k, payment_channel),
+cities AS (SELECT k, CAST(location AS VARCHAR) AS v, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, CAST(location AS VARCHAR)) AS rn
+           FROM past WHERE location IS NOT NULL GROUP BY k, location),
 f AS (
-  SELECT h.row_id, h.account, h.amount, h.payment_channel, h.location, h.ts,
-         h.velocity_1h, h.merchant_seen, h.location_seen, h.merchant_frequency,
-         b.user_id IS NOT NULL AS has_baseline, b.average_amount, b.transaction_std_dev,
-         b.preferred_payment_method, b.usual_city, b.active_hour_start, b.active_hour_end,
-         hour(h.ts) AS hour_of_day
-  FROM hist h JOIN cut ON h.ts >= cut.c LEFT JOIN b ON h.account = b.user_id),
+  SELECT h.*, hour(h.ts) AS hour_of_day, s.k IS NOT NULL AS has_baseline,
+    CASE WHEN s.k IS NULL THEN NULL WHEN nv = 0 THEN 0.0 ELSE round(CAST(total AS DOUBLE) / nv, 2) END AS average_amount,
+    CASE WHEN s.k IS NULL THEN NULL WHEN nv = 0 THEN 0.0
+         ELSE round(sqrt(CAST(nv * s.s2 - s.s * s.s AS DOUBLE)) / nv / 100, 2) END AS transaction_std_dev,
+    CASE WHEN s.k IS NULL THEN NULL WHEN nv = 0 THEN 0 ELSE nv // days END AS average_daily_transactions,
+    CASE WHEN s.k IS NOT NULL THEN coalesce(m.v, '') END AS preferred_payment_method,
+    CASE WHEN s.k IS NOT NULL THEN coalesce(c.v, '') END AS usual_city, active_hour_start, active_hour_end
+  FROM hist h LEFT JOIN stats s ON s.k = h.row_id LEFT JOIN methods m ON m.k = h.row_id AND m.rn = 1
+  LEFT JOIN cities c ON c.k = h.row_id AND c.rn = 1),
 g AS (
   SELECT f.*,
     CASE WHEN has_baseline AND average_amount <> 0
@@ -212,34 +228,30 @@ FLAGS_SQL = """concat_ws('|',
       CASE WHEN outside_active_hours THEN 'OUTSIDE_ACTIVE_HOURS' END)"""
 
 
-def _snapshot_frame(spark, sf):
-    t, old, new = _split(spark, sf)
-    cut = bl.snapshot_cutoff(t)
-    h = bl.velocity_1h(t)
-    h = bl.seen_before(h, {"merchant_seen": "merchant", "location_seen": "location"})
-    h = bl.merchant_frequency(h).filter(F.col("ts") >= ntz_lit(cut))
-    f = bl.lookup_baseline(h.withColumn("hour_of_day", F.hour("ts")), bl.user_baselines(old))
+def _running(spark, sf):
+    f = running_baselines(_txn(spark, sf)).withColumn("hour_of_day", F.hour("ts"))
     return bl.change_flags(bl.baseline_deviation(f))
 
 
-@register("o40_baseline_lookup", SNAP + """
-SELECT row_id, has_baseline, average_amount, preferred_payment_method, usual_city FROM g""")
+@register("o40_baseline_lookup", RUNNING + """
+SELECT row_id, has_baseline, CAST(average_amount AS DOUBLE) AS average_amount, CAST(transaction_std_dev AS DOUBLE) AS transaction_std_dev,
+  average_daily_transactions, preferred_payment_method, usual_city, active_hour_start, active_hour_end FROM g""")
 def o40(spark, sf):
-    return _snapshot_frame(spark, sf).select(
-        "row_id", F.col("_has_baseline").alias("has_baseline"), "average_amount",
-        "preferred_payment_method", "usual_city")
+    return _running(spark, sf).select(
+        "row_id", F.col("_has_baseline").alias("has_baseline"), "average_amount", "transaction_std_dev", "average_daily_transactions",
+        "preferred_payment_method", "usual_city", "active_hour_start", "active_hour_end")
 
 
-@register("o41_baseline_deviation", SNAP + f"""
+@register("o41_baseline_deviation", RUNNING + f"""
 SELECT row_id, {r6('amount_deviation', 'amount_deviation')}, {r6('amount_z_score', 'amount_z_score')} FROM g""")
 def o41(spark, sf):
-    return _snapshot_frame(spark, sf).select("row_id", "amount_deviation", "amount_z_score")
+    return _running(spark, sf).select("row_id", "amount_deviation", "amount_z_score")
 
 
-@register("o42_change_flags", SNAP + """
+@register("o42_change_flags", RUNNING + """
 SELECT row_id, payment_method_changed, outside_usual_city, outside_active_hours FROM g""")
 def o42(spark, sf):
-    return _snapshot_frame(spark, sf).select(
+    return _running(spark, sf).select(
         "row_id", "payment_method_changed", "outside_usual_city", "outside_active_hours")
 
 
@@ -250,16 +262,16 @@ def o43(spark, sf):
     return A.events_txn(spark, sf).select("row_id", *online_calendar("ts"))
 
 
-@register("o44_risk_flags", SNAP + f"""
+@register("o44_risk_flags", RUNNING + f"""
 SELECT row_id, {FLAGS_SQL} AS risk_flags FROM g""")
 def o44(spark, sf):
-    f = _snapshot_frame(spark, sf).select(
+    f = _running(spark, sf).select(
         "*", (~F.col("merchant_seen")).alias("new_merchant"), F.lit(False).alias("new_device"),
         (~F.col("location_seen")).alias("new_location"))
     return f.select("row_id", F.concat_ws("|", flag_array(risk_flag_rules())).alias("risk_flags"))
 
 
-ONLINE_SQL = SNAP + f"""
+ONLINE_SQL = RUNNING + f"""
 SELECT row_id, account AS user_id, round(CAST(amount AS DOUBLE), 6) AS amount,
   {r6('amount_deviation', 'amount_deviation')}, {r6('amount_z_score', 'amount_z_score')},
   velocity_1h, hour_of_day, CAST(dayofweek(ts) AS BIGINT) AS day_of_week, month(ts) AS month,
@@ -273,8 +285,7 @@ FROM g"""
 
 
 def _online(spark, sf):
-    t, old, new = _split(spark, sf)
-    return bl.online_features(new, bl.user_baselines(old), history=t)
+    return bl.running_online_features(_txn(spark, sf))
 
 
 @register("o45_online_features", ONLINE_SQL)
@@ -283,7 +294,7 @@ def o45(spark, sf):
     return f.withColumn("risk_flags", F.concat_ws("|", "risk_flags"))
 
 
-@register("o46_model_input", SNAP + f"""
+@register("o46_model_input", RUNNING + f"""
 SELECT row_id, round(CAST(amount AS DOUBLE), 6) AS amount, payment_channel,
   CAST(0.0 AS DOUBLE) AS time_since_last_transaction, CAST(velocity_1h AS DOUBLE) AS velocity_score,
   {r6('amount_z_score', 'spending_deviation_score')},
@@ -295,7 +306,5 @@ SELECT row_id, round(CAST(amount AS DOUBLE), 6) AS amount, payment_channel,
   CAST(payment_method_changed AS BIGINT) AS is_new_payment_format
 FROM g""")
 def o46(spark, sf):
-    t, old, new = _split(spark, sf)
-    f = bl.online_features(new, bl.user_baselines(old), history=t)
-    f = f.join(new.select("row_id", "payment_channel"), "row_id")
+    f = bl.running_online_features(_txn(spark, sf), keep=["payment_channel"])
     return bl.to_model_input(f, keep=["row_id"])

@@ -16,7 +16,7 @@ from riskspark.functions.calendar import ntz_lit
 from riskspark import adapters as A
 from riskspark.operators import baseline as bl
 from riskspark.plans.q_features import CAL_SQL, EV_ORDER, TSLT_SQL, Z_SQL, _prior_sql
-from riskspark.plans.q_online import SNAP
+from riskspark.plans.q_online import RUNNING
 from riskspark.plans.registry import r6, register, round6
 from riskspark.session import table_dir
 from riskspark.sources import files
@@ -162,7 +162,7 @@ def o76(spark, sf):
     return trend.select(F.col("hour_start").cast("timestamp_ntz"), "count")
 
 
-@register("o72_enrich_stream", SNAP + f"""
+@register("o72_enrich_stream", RUNNING + f"""
 SELECT row_id, {r6('amount_deviation', 'amount_deviation')}, {r6('amount_z_score', 'amount_z_score')},
        payment_method_changed, outside_usual_city, outside_active_hours,
        CASE WHEN {A.STAND_IN_SCORE_SQL} >= 0.7 THEN 'BLOCK'
