@@ -301,7 +301,12 @@ def running_online_features(txn: DataFrame, user: str = "account", ts: str = "ts
     of its account's rows before it (no snapshot, no cutoff)."""
     from riskspark.operators.running import running_baselines
 
-    f = running_baselines(txn, user, ts=ts, tie=tie, chunk_rows=chunk_rows).select("*", *online_calendar(ts))
+    return running_vector(running_baselines(txn, user, ts=ts, tie=tie, chunk_rows=chunk_rows), user, ts, tie, with_gap, keep)
+
+
+def running_vector(f: DataFrame, user: str, ts: str, tie: Sequence[str], with_gap: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """O-45 from rows that carry their running baseline (batch or stream)."""
+    f = f.select("*", *online_calendar(ts))
     gap = F.coalesce(F.greatest(F.lit(0.0), seconds_between(F.col("_prev_ts"), F.col(ts))), F.lit(0.0)) if with_gap else F.lit(0.0)
     return _vector(f.withColumns({"_gap": gap, "new_merchant": ~F.col("merchant_seen"), "new_location": ~F.col("location_seen"),
                                   "new_device": F.lit(False)}), user, tie, keep)

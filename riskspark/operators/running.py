@@ -104,6 +104,16 @@ def running_baselines(txn: DataFrame, user: str = "account", amount: str = "amou
     s = running_scan(rows, user, [ts, *tie], same, pairs, {
         "_n": ("count", "_one"), "_nv": ("count", "_paid"), "_sum": ("sum", "_paid"), "_sum2": ("sum", "_cents2"), "_days": ("count", "_begun"),
         "_from": ("min", "_hour"), "_to": ("max", "_hour"), "_prev_ts": ("max", ts), "_mode": ("min", "_m"), "_place": ("min", "_c")}, chunk_rows)
+    return finished(s.withColumns({"_method": F.col("_mode.v"), "_place": F.col("_place.v"), "_uses": F.col(f"_same_{merchant}"),
+                                   "merchant_seen": F.col(f"_same_{merchant}") > 0, "location_seen": F.col("_same__city") > 0})).drop(
+        "_paid", "_cents2", "_day", "_city", "_hour", "_one", "_m", "_c", "_begun", "_mode", *[f"_same_{x}" for x in same])
+
+
+def finished(s: DataFrame) -> DataFrame:
+    """The baseline's columns from its prefix state: ``_n`` rows, ``_nv`` paid
+    ones with ``_sum`` and ``_sum2`` (squares, in cents), ``_days`` begun,
+    ``_from`` and ``_to`` hours, ``_method`` and ``_place`` modes, ``_uses`` of
+    the merchant, ``_recent`` rows. Batch and stream end here alike."""
     n, nv = F.coalesce(F.col("_n"), F.lit(0)), F.coalesce(F.col("_nv"), F.lit(0))
     total = (F.col("_sum") * 100).cast("decimal(38,0)")
     # exact up to the root: n * sum of squares - square of the sum
@@ -114,11 +124,9 @@ def running_baselines(txn: DataFrame, user: str = "account", amount: str = "amou
     s = s.withColumns({
         "_has_baseline": has, "average_amount": money(F.col("_sum").cast("double") / nv), "transaction_std_dev": money(sd),
         "average_daily_transactions": F.when(has, F.when(paid, F.floor(nv / F.col("_days"))).otherwise(0)).cast("int"),
-        "preferred_payment_method": F.when(has, F.coalesce(F.col("_mode.v"), F.lit(""))),
-        "preferred_merchant_category": F.when(has, F.lit("")), "usual_city": F.when(has, F.coalesce(F.col("_place.v"), F.lit(""))),
+        "preferred_payment_method": F.when(has, F.coalesce(F.col("_method"), F.lit(""))),
+        "preferred_merchant_category": F.when(has, F.lit("")), "usual_city": F.when(has, F.coalesce(F.col("_place"), F.lit(""))),
         "active_hour_start": F.when(has, F.coalesce(F.col("_from"), F.lit(0))).cast("short"),
         "active_hour_end": F.when(has, F.coalesce(F.col("_to"), F.lit(23))).cast("short"),
-        "velocity_1h": F.col("_recent"), "merchant_seen": F.col(f"_same_{merchant}") > 0, "location_seen": F.col("_same__city") > 0,
-        "merchant_frequency": F.when(has, F.col(f"_same_{merchant}") / n).otherwise(0.0)})
-    return s.drop("_paid", "_cents2", "_day", "_city", "_hour", "_one", "_m", "_c", "_begun", "_n", "_nv", "_sum", "_sum2", "_days", "_from", "_to",
-                  "_mode", "_place", "_recent", *[f"_same_{x}" for x in same])
+        "velocity_1h": F.col("_recent"), "merchant_frequency": F.when(has, F.col("_uses") / n).otherwise(0.0)})
+    return s.drop("_n", "_nv", "_sum", "_sum2", "_days", "_from", "_to", "_method", "_place", "_uses", "_recent")

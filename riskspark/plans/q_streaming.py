@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from riskspark.functions.calendar import ntz_lit
 
 from riskspark import adapters as A
-from riskspark.operators import baseline as bl
 from riskspark.plans.q_features import CAL_SQL, EV_ORDER, TSLT_SQL, Z_SQL, _prior_sql
-from riskspark.plans.q_online import RUNNING
+from riskspark.functions.rules import NO_REASON
+from riskspark.plans.q_online import FLAGS_SQL, RUNNING
 from riskspark.plans.registry import r6, register, round6
 from riskspark.session import table_dir
 from riskspark.sources import files
@@ -162,21 +162,61 @@ def o76(spark, sf):
     return trend.select(F.col("hour_start").cast("timestamp_ntz"), "count")
 
 
-@register("o72_enrich_stream", RUNNING + f"""
-SELECT row_id, {r6('amount_deviation', 'amount_deviation')}, {r6('amount_z_score', 'amount_z_score')},
-       payment_method_changed, outside_usual_city, outside_active_hours,
-       CASE WHEN {A.STAND_IN_SCORE_SQL} >= 0.7 THEN 'BLOCK'
-            WHEN {A.STAND_IN_SCORE_SQL} >= 0.3 THEN 'REVIEW' ELSE 'ALLOW' END AS decision FROM g""")
+#: A stored linear model: bias and weights of the model inputs.
+LINEAR = (-3.0, {"spending_deviation_score": 0.8, "velocity_score": 0.4, "is_new_receiver": 0.9, "is_new_payment_format": 0.7,
+                 "is_first_transaction": 0.5, "is_weekend": 0.3, "amount": 0.004})
+LOGIT_SQL = f"{LINEAR[0]} + " + " + ".join(f"{w} * CAST({c} AS DOUBLE)" for c, w in LINEAR[1].items())
+
+
+def linear_score(x):
+    z = F.lit(LINEAR[0])
+    for c, w in LINEAR[1].items():
+        z = z + F.lit(w) * F.col(c).cast("double")
+    return x.withColumn("raw_probability", 1 / (1 + F.exp(-z)))
+
+
+ENRICHED_SQL = RUNNING + f""",
+x AS (SELECT g.*, CAST(velocity_1h AS DOUBLE) AS velocity_score, amount_z_score AS spending_deviation_score,
+  CAST(NOT has_baseline AS BIGINT) AS is_first_transaction, CAST(NOT merchant_seen AS BIGINT) AS is_new_receiver,
+  CAST(payment_method_changed AS BIGINT) AS is_new_payment_format, CAST(dayofweek(ts) IN (0, 6) AS BIGINT) AS is_weekend FROM g),
+p AS (SELECT x.*, 1 / (1 + exp(-({LOGIT_SQL}))) AS raw FROM x),
+q AS (SELECT p.*, round(raw, 4) AS fraud_probability, round(greatest(raw, 1 - raw), 4) AS confidence FROM p)
+SELECT row_id, account AS user_id, {r6('amount_deviation', 'amount_deviation')}, {r6('amount_z_score', 'amount_z_score')}, velocity_1h,
+  outside_active_hours, NOT merchant_seen AS new_merchant, NOT location_seen AS new_location, payment_method_changed, outside_usual_city,
+  {r6('merchant_frequency', 'merchant_frequency')}, {FLAGS_SQL} AS risk_flags,
+  fraud_probability, confidence,
+  CASE WHEN fraud_probability >= 0.7 THEN 'BLOCK' WHEN fraud_probability >= 0.3 THEN 'REVIEW' ELSE 'ALLOW' END AS decision,
+  raw >= 0.5 OR fraud_probability >= 0.7 AS prediction,
+  coalesce(nullif(concat_ws('|', CASE WHEN amount > 50000 THEN 'HIGH_TRANSACTION_AMOUNT' END,
+    CASE WHEN velocity_score > 0.8 THEN 'HIGH_TRANSACTION_VELOCITY' END, CASE WHEN spending_deviation_score > 0.8 THEN 'UNUSUAL_SPENDING_PATTERN' END,
+    CASE WHEN is_first_transaction = 1 THEN 'FIRST_TRANSACTION' END, CASE WHEN is_new_receiver = 1 THEN 'NEW_RECEIVER' END,
+    CASE WHEN is_new_payment_format = 1 THEN 'NEW_PAYMENT_FORMAT' END, CASE WHEN hour(ts) <= 5 THEN 'ODD_TRANSACTION_HOUR' END), ''), '{NO_REASON}') AS reason_codes,
+  CAST(CAST(fraud_probability AS DECIMAL(5,4)) AS VARCHAR) AS anomaly_score
+FROM q"""
+
+
+def enriched(spark, sf, score, base, slices=SLICES):
+    """Run the O-72 job over all transactions, oldest first."""
+    t = A.events_txn(spark, sf).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    schema = _stage(t, f"{base}/in", slices=slices)
+    s = jobs.enrich_stream(jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES))
+    jobs.run_foreach_batch(s, jobs.enriched_batch_writer(base, score), f"{base}/ckpt")
+
+
+@register("o72_enrich_stream", ENRICHED_SQL)
 def o72(spark, sf):
+    """Features, score, decision, reason codes and stored records of every
+    transaction, read back from the sinks."""
     base = _fresh(spark, "enrich")
-    t = A.scored_txn(spark, sf).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
-    cut = bl.snapshot_cutoff(t)
-    baselines = bl.user_baselines(t.where(F.col("ts") < ntz_lit(cut)))
-    schema = _stage(t.where(F.col("ts") >= ntz_lit(cut)), f"{base}/in")
-    s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
-    out = _run(jobs.enrich_stream(s, baselines), base)
-    return out.select("row_id", "amount_deviation", "amount_z_score", "payment_method_changed",
-                      "outside_usual_city", "outside_active_hours", "decision")
+    enriched(spark, sf, linear_score, base)
+    f, d = files.read_committed(spark, base, "features"), files.read_committed(spark, base, "scored")
+    p, a = files.read_committed(spark, base, "predictions"), files.read_committed(spark, base, "anomalies")
+    rows = (f.join(d.select("row_id", "transaction_id", "confidence", F.concat_ws("|", "reason_codes").alias("reason_codes")), "row_id")
+            .join(p.select("transaction_id", "prediction", "decision", "fraud_probability"), "transaction_id")
+            .join(a.select("transaction_id", F.col("anomaly_score").cast("string").alias("anomaly_score")), "transaction_id"))
+    return rows.select("row_id", "user_id", "amount_deviation", "amount_z_score", "velocity_1h", "outside_active_hours", "new_merchant", "new_location",
+                       "payment_method_changed", "outside_usual_city", "merchant_frequency", F.concat_ws("|", "risk_flags").alias("risk_flags"),
+                       "fraud_probability", "confidence", "decision", "prediction", "reason_codes", "anomaly_score")
 
 
 def _anchored_sql(key_expr: str, seconds: int, limit: int, out: str) -> str:

@@ -196,6 +196,20 @@ def read_topic_stream(spark: SparkSession, topic: str, source: str, bootstrap: s
     return r.json(f"{source}/{topic}")
 
 
+def commit_batch(spark: SparkSession, base: str, batch_id: int, sinks: Sequence[str]) -> None:
+    """O-06: mark a batch of several sinks as written as a whole. Its commit is
+    one row in a folder of its own, renamed into place by Spark's committer."""
+    (spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id"), F.array(*[F.lit(s) for s in sinks]).alias("sinks"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{base}/commits/at={batch_id}"))
+
+
+def read_committed(spark: SparkSession, base: str, sink: str) -> DataFrame:
+    """O-06: the rows of a sink's committed batches, and of no others."""
+    done = spark.read.parquet(f"{base}/commits").where(F.array_contains("sinks", sink)).select(F.col("batch_id").alias("_done"))
+    rows = spark.read.parquet(f"{base}/{sink}")
+    return rows.join(done, F.col("batch").cast("bigint") == F.col("_done"), "left_semi").drop("batch")
+
+
 def prediction_log_frame(predictions: DataFrame, txn_cols: Sequence[str]) -> DataFrame:
     """O-09: ``{timestamp, transaction{}, prediction{}}`` records."""
     return predictions.select(

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.functions.calendar import seconds_between  # noqa: F401  (re-export for users)
 from riskspark.functions.rules import decision
 from riskspark.operators import baseline as bl
 from riskspark.operators import decide as dc
 from riskspark.sources import files
-from riskspark.streaming.state import AccountFeatureProcessor, AnchoredWindowProcessor
+from riskspark.operators.running import finished
+from riskspark.streaming.state import RUNNING_OUT, AccountFeatureProcessor, AnchoredWindowProcessor, RunningBaselineProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -146,14 +146,56 @@ def decision_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d, bad
 
 
-def enrich_stream(stream: DataFrame, baselines: DataFrame, user: str = "account") -> DataFrame:
-    """O-72: stream-static join with the baseline table, then deviation,
-    change flags and the decision (state before the row, no self-view)."""
-    from riskspark.functions.calendar import online_calendar
+def enrich_stream(stream: DataFrame, user: str = "account", ts: str = "ts", tie: Sequence[str] = ("row_id",),
+                  keep: Sequence[str] = ()) -> DataFrame:
+    """O-72, first half: every transaction with its O-45 vector, made from
+    keyed state that holds what came before it (no self-view). The same
+    expressions finish the batch form."""
+    configure_state_store(stream.sparkSession)
+    columns = list(dict.fromkeys([user, *tie, ts, "amount", "payment_channel", "merchant", "location", "status", *keep]))
+    out = T.StructType([*[stream.schema[c] for c in columns], *RUNNING_OUT])
+    # the state's key is text: rows without an account are one key of their own
+    s = stream.select(*columns, F.coalesce(F.col(user).cast("string"), F.lit("\0")).alias("_key")).groupBy("_key").transformWithStateInPandas(
+        statefulProcessor=RunningBaselineProcessor(ts, tie, columns), outputStructType=out, outputMode="Append", timeMode="None")
+    s = s.withColumns({"_sum": (F.col("_sum").cast("decimal(38,0)") / F.lit(100)).cast("decimal(28,2)"), "_sum2": F.col("_sum2").cast("decimal(38,0)"),
+                       "_prev_ts": F.timestamp_micros("_prev_us").cast(stream.schema[ts].dataType)}).drop("_prev_us")
+    return bl.running_vector(finished(s), user, ts, tie, keep=[*dict.fromkeys(["payment_channel", ts, *keep])])
+
+
+def scored(features: DataFrame, score: Callable[[DataFrame], DataFrame], ts: str = "ts", tie: Sequence[str] = ("row_id",)) -> DataFrame:
+    """O-72, second half, row by row: model input (O-46), ``score`` (adds
+    ``raw_probability``, O-51), outputs and decision (O-52..O-54) and reason
+    codes (O-55)."""
+    x = bl.to_model_input(features, keep=[*tie, "user_id", ts, "risk_flags"])
+    d = dc.decide(dc.score_outputs(score(x)))
+    return dc.with_reason_codes(d).withColumns({"transaction_id": F.col(tie[0]).cast("string"), "created_at": F.col(ts),
+                                                "user_id": F.col("user_id").cast("string")})
+
+
+def enriched_batch_writer(base: str, score: Callable[[DataFrame], DataFrame], ts: str = "ts",
+                          tie: Sequence[str] = ("row_id",)) -> Callable[[DataFrame, int], None]:
+    """O-72 sinks of a micro-batch: the feature CSV (O-05), the scored rows,
+    and the prediction and anomaly records (O-56), each in the folder of its
+    batch. The batch counts once its commit is written, after all sinks: a
+    batch that fails between two sinks shows in none, and its replay
+    overwrites what it had left."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            d = scored(batch, score, ts, tie).persist()
+            sinks = {"features": batch.drop(ts, "payment_channel"), "scored": d.drop("risk_flags", ts),
+                     "predictions": dc.prediction_records(d), "anomalies": dc.anomaly_records(d)}
+            for name, rows in sinks.items():
+                rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+            csv = batch.withColumn("transaction_id", F.col(tie[0])).withColumn("user_id", F.col("user_id").cast("string"))
+            files.feature_csv_frame(csv).write.mode("overwrite").option("header", True).csv(f"{base}/features_csv/batch={batch_id}")
+            files.commit_batch(batch.sparkSession, base, batch_id, list(sinks))
+            d.unpersist()
+        finally:
+            batch.unpersist()
 
-    f = bl.lookup_baseline(stream.select("*", *online_calendar("ts")), baselines, user)
-    f = bl.change_flags(bl.baseline_deviation(f))
-    return f.withColumn("decision", decision(F.col("fraud_probability")))
+    return write
 
 
 def drift_accumulators(stream: DataFrame) -> DataFrame:

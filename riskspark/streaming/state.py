@@ -9,6 +9,7 @@ per task, never its whole history.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -155,3 +156,98 @@ class AnchoredWindowProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+RUNNING_SCHEMA = T.StructType([
+    T.StructField("n", T.LongType()), T.StructField("nv", T.LongType()),
+    # exact sums of any size, as decimal strings
+    T.StructField("cents", T.StringType()), T.StructField("cents2", T.StringType()),
+    T.StructField("days", T.LongType()), T.StructField("last_day", T.LongType()),
+    T.StructField("from_hour", T.IntegerType()), T.StructField("to_hour", T.IntegerType()), T.StructField("last_us", T.LongType()),
+    T.StructField("recent", T.BinaryType()),
+    T.StructField("method", T.StringType()), T.StructField("method_n", T.LongType()),
+    T.StructField("place", T.StringType()), T.StructField("place_n", T.LongType()),
+])
+USES_VAL = T.StructType([T.StructField("n", T.LongType())])
+#: What the processor adds to a row: the prefix state before it.
+RUNNING_OUT = [
+    T.StructField("_n", T.LongType()), T.StructField("_nv", T.LongType()), T.StructField("_sum", T.StringType()),
+    T.StructField("_sum2", T.StringType()), T.StructField("_days", T.LongType()), T.StructField("_from", T.IntegerType()),
+    T.StructField("_to", T.IntegerType()), T.StructField("_method", T.StringType()), T.StructField("_place", T.StringType()),
+    T.StructField("_uses", T.LongType()), T.StructField("_recent", T.LongType()), T.StructField("merchant_seen", T.BooleanType()),
+    T.StructField("location_seen", T.BooleanType()), T.StructField("_prev_us", T.LongType())]
+
+
+class RunningBaselineProcessor(StatefulProcessor):
+    """O-72: the baseline and history of an account as of each of its rows,
+    the same prefix state as ``operators.running``: read -> emit -> update.
+
+    State per account: one value (counts, exact sums, hours, running modes and
+    the times of the last hour, which older ones leave) and a count per
+    merchant, method and place used. A row without a time or amount adds
+    nothing to the sums and the last hour; rows that arrive after later ones
+    count as earlier for the rows that arrive after them.
+    """
+
+    HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+    def __init__(self, ts: str, tie: Sequence[str], keep: Sequence[str], only: str = "PENDING"):
+        self.ts, self.tie, self.keep, self.only = ts, list(tie), list(keep), only
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("baseline", RUNNING_SCHEMA)
+        self.uses = {c: handle.getMapState(f"uses_{c}", SEEN_KEY, USES_VAL) for c in ("merchant", "method", "place")}
+
+    def counts(self, kind: str, values) -> dict:
+        """Uses so far of the values in this batch, one read for each."""
+        store = self.uses[kind]
+        return {v: store.getValue((v,))[0] if store.containsKey((v,)) else 0 for v in dict.fromkeys(values)}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, *self.tie], kind="mergesort", na_position="last")
+        s = dict(zip(RUNNING_SCHEMA.names, self.state.get())) if self.state.exists() else dict(
+            n=0, nv=0, cents="0", cents2="0", days=0, last_day=None, from_hour=None, to_hour=None, last_us=None, recent=b"",
+            method=None, method_n=0, place=None, place_n=0)
+        cents, cents2, recent = int(s["cents"]), int(s["cents2"]), np.frombuffer(s["recent"], np.int64).tolist()
+        text = lambda c: [None if pd.isna(v) else str(v) for v in pdf[c]]
+        merchants, methods = text("merchant"), text("payment_channel")
+        places = [None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in pdf["location"]]
+        seen = {"merchant": self.counts("merchant", merchants), "method": self.counts("method", methods), "place": self.counts("place", places)}
+        out = []
+        for at, amount, status, merchant, method, place in zip(pdf[self.ts], pdf["amount"], pdf["status"], merchants, methods, places):
+            us = None if pd.isna(at) else int(at.to_datetime64().astype("datetime64[us]").astype("int64"))
+            near = 0 if us is None else len(recent) - bisect_left(recent, us - self.HOUR)
+            out.append((s["n"], s["nv"], str(cents), str(cents2), s["days"], s["from_hour"], s["to_hour"], s["method"], s["place"],
+                        seen["merchant"][merchant], near, seen["merchant"][merchant] > 0, seen["place"][place] > 0, s["last_us"]))
+            s["n"] += 1
+            for kind, v in (("merchant", merchant), ("method", method), ("place", place)):
+                seen[kind][v] += 1
+                if kind != "merchant" and (kind == "method" or v is not None):
+                    n, best = seen[kind][v], s[kind]
+                    first = s[f"{kind}_n"] == 0
+                    if first or (-n, v is not None, v or "") < (-s[f"{kind}_n"], best is not None, best or ""):
+                        s[kind], s[f"{kind}_n"] = v, n
+            if us is not None:
+                hour = us // self.HOUR % 24
+                s["from_hour"] = hour if s["from_hour"] is None else min(hour, s["from_hour"])
+                s["to_hour"] = hour if s["to_hour"] is None else max(hour, s["to_hour"])
+                s["last_us"] = us if s["last_us"] is None else max(us, s["last_us"])
+                insort(recent, us)
+            if status == self.only:
+                if us is not None and us // self.DAY != s["last_day"]:
+                    s["days"], s["last_day"] = s["days"] + 1, us // self.DAY
+                if not pd.isna(amount):
+                    c = int(amount * 100)
+                    s["nv"], cents, cents2 = s["nv"] + 1, cents + c, cents2 + c * c
+        newest = s["last_us"]
+        recent = recent[bisect_left(recent, newest - self.HOUR):] if newest is not None else []
+        s |= {"cents": str(cents), "cents2": str(cents2), "recent": np.array(recent, np.int64).tobytes()}
+        self.state.update(tuple(s[c] for c in RUNNING_SCHEMA.names))
+        for kind, counts in seen.items():
+            for v, n in counts.items():
+                self.uses[kind].updateValue((v,), (n,))
+        state = pd.DataFrame(out, columns=[f.name for f in RUNNING_OUT], dtype=object)
+        yield pd.concat([pdf[self.keep].reset_index(drop=True), state], axis=1)
+
+    def close(self) -> None:
+        pass
