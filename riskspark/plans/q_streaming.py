@@ -16,10 +16,11 @@ from riskspark.functions.calendar import ntz_lit
 from riskspark import adapters as A
 from riskspark.plans.q_features import CAL_SQL, EV_ORDER, TSLT_SQL, Z_SQL, _prior_sql
 from riskspark.functions.rules import NO_REASON
-from riskspark.plans.q_online import FLAGS_SQL, RUNNING
+from riskspark.plans.q_online import FLAGS_SQL, RUNNING, baseline_sql
 from riskspark.plans.registry import r6, register, round6
 from riskspark.session import table_dir
 from riskspark.sources import files
+from riskspark.sources.keyed_table import KeyedTable
 from riskspark.streaming import jobs
 
 E = A.EVENTS_TXN_SQL
@@ -219,6 +220,16 @@ def o72(spark, sf):
                        "fraud_probability", "confidence", "decision", "prediction", "reason_codes", "anomaly_score")
 
 
+@register("o39_upsert_stream", f"WITH t AS ({E}) " + baseline_sql("t"))
+def o39_stream(spark, sf):
+    """The baseline table after the stream has upserted micro-batch by micro-batch."""
+    base = _fresh(spark, "upsert")
+    t = A.events_txn(spark, sf).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    schema = _stage(t, f"{base}/in")
+    jobs.run_foreach_batch(jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES), jobs.baseline_upsert_writer(base), f"{base}/ckpt")
+    return KeyedTable(spark, f"{base}/baselines", "user_id").read().drop("bucket")
+
+
 def _anchored_sql(key_expr: str, seconds: int, limit: int, out: str) -> str:
     """DuckDB twin: positions, next-anchor index, recursive anchor chain."""
     us = seconds * 1_000_000

@@ -19,6 +19,7 @@ from riskspark.functions.rules import decision
 from riskspark.operators import baseline as bl
 from riskspark.operators import decide as dc
 from riskspark.sources import files
+from riskspark.sources.keyed_table import KeyedTable
 from riskspark.operators.running import finished
 from riskspark.streaming.state import RUNNING_OUT, AccountFeatureProcessor, AnchoredWindowProcessor, RunningBaselineProcessor
 
@@ -198,6 +199,34 @@ def enriched_batch_writer(base: str, score: Callable[[DataFrame], DataFrame], ts
     return write
 
 
+def baseline_upsert_writer(base: str, user: str = "account", buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """O-39 in a stream: a micro-batch adds its rows to the history, kept in
+    the same buckets as the baselines, recomputes the baselines of the users it
+    has (reading only their buckets) and upserts them. Each step overwrites
+    the folder of its batch, and the table takes a batch id once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        baselines = KeyedTable(spark, f"{base}/baselines", "user_id", buckets)
+        if baselines.applied(batch_id):
+            return
+        rows = batch.withColumn("bucket", baselines.bucket(user)).persist()
+        try:
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/history/batch={batch_id}")
+            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # <= buckets rows
+            if not touched:
+                return
+            past = (spark.read.schema(rows.schema.add("batch", "long")).parquet(f"{base}/history")
+                    .where(F.col("bucket").isin(touched) & (F.col("batch") <= batch_id)))
+            users = rows.select(F.col(user).alias("_u")).distinct()
+            theirs = past.join(users, F.col(user).eqNullSafe(F.col("_u")), "left_semi")
+            baselines.merge(bl.user_baselines(theirs, user), batch_id)
+        finally:
+            rows.unpersist()
+
+    return write
+
+
 def drift_accumulators(stream: DataFrame) -> DataFrame:
     """O-74: running n, sums and channel counts (global streaming aggregate)."""
     return stream.groupBy("payment_channel").agg(
