@@ -31,9 +31,10 @@ from riskspark.session import cut_lineage
 
 
 def anchored_windows(df: DataFrame, key: str, ts: str, tie: Sequence[str], seconds: int, limit: int,
-                     max_rounds: int = 64, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                     max_rounds: int = 64, chunk_rows: int = DEFAULT_CHUNK_ROWS, result: bool = False) -> DataFrame:
     """Add ``window_start`` (timestamp of the window's first row),
-    ``count_in_window`` and ``allowed = count_in_window <= limit``."""
+    ``count_in_window`` and ``allowed = count_in_window <= limit``; with
+    ``result`` also the first tie column of the row that opened the window."""
     tie = list(tie)
     # a struct around the key lets null keys join, sort and group like others
     named, key, given = key, "_wkey", df
@@ -76,9 +77,9 @@ def anchored_windows(df: DataFrame, key: str, ts: str, tie: Sequence[str], secon
     numbered = positions(flagged.where(F.col("_a") == 1).select(key, F.col(ts).alias("_ats"),
                                                                    F.col("_pos").alias("_apos"), *tie),
                          ["_ats", *tie], group=key, out="_ord", sizes=False)
-    starts = numbered.select(key, (F.col("_ord") + 1).alias("_w"), "_ats", "_apos")
+    starts = numbered.select(key, (F.col("_ord") + 1).alias("_w"), "_ats", "_apos", F.col(tie[0]).cast("string").alias("result"))
     out = s.join(starts, [key, "_w"])
     count = F.col("_pos") - F.col("_apos") + 1
     res = out.select(key, *tie, F.col("_ats").alias("window_start"), count.alias("count_in_window"),
-                     (count <= limit).alias("allowed"))
-    return df.join(res, [key, *tie]).select(*given.columns, "window_start", "count_in_window", "allowed")
+                     (count <= limit).alias("allowed"), "result")
+    return df.join(res, [key, *tie]).select(*given.columns, "window_start", "count_in_window", "allowed", *(["result"] if result else []))

@@ -233,6 +233,7 @@ def o39_stream(spark, sf):
 def _anchored_sql(key_expr: str, seconds: int, limit: int, out: str) -> str:
     """DuckDB twin: positions, next-anchor index, recursive anchor chain."""
     us = seconds * 1_000_000
+    first = ", CAST(a.row_id AS VARCHAR) AS result" if limit == 1 else ""
     return f"""WITH RECURSIVE t AS (SELECT row_id, {key_expr} AS k, ts FROM ({E}) e),
 r AS (SELECT k, row_id, ts, row_number() OVER (PARTITION BY k ORDER BY ts, row_id) - 1 AS p,
              count(*) OVER (PARTITION BY k) AS size FROM t),
@@ -243,7 +244,7 @@ chain(k, p) AS (SELECT k, p FROM r WHERE p = 0
 w AS (SELECT r.k, r.row_id, r.p, max(c.p) AS ap FROM r JOIN chain c ON c.k = r.k AND c.p <= r.p
       GROUP BY r.k, r.row_id, r.p)
 SELECT w.row_id, w.k AS {out}, a.ts AS window_start, w.p - w.ap + 1 AS count_in_window,
-       w.p - w.ap + 1 <= {limit} AS allowed
+       w.p - w.ap + 1 <= {limit} AS allowed{first}
 FROM w JOIN r a ON a.k = w.k AND a.p = w.ap"""
 
 
@@ -261,20 +262,21 @@ def o73(spark, sf):
     schema = _stage(r, f"{base}/in")
     s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
     return _with_start(_run(jobs.anchored_window_stream(s, "account", "ts", 60, 100, ["row_id", "account"],
-                                                        ["row_id"]), base))
+                                                        ["row_id"], delay="1 minute"), base))
 
 
 @register("o59_idempotency", _anchored_sql("CAST(account AS VARCHAR) || ':' || merchant", 86400, 1,
                                            "idempotency_key"))
 def o59(spark, sf):
-    """First call per idempotency key wins for 24 h (key: user + merchant)."""
+    """First call per idempotency key wins for 24 h (key: user + merchant);
+    later calls get the first one's result."""
     base = _fresh(spark, "idem")
     r = A.events_txn(spark, sf).select(
         "row_id", F.concat_ws(":", "account", "merchant").alias("idempotency_key"), "ts")
     schema = _stage(r, f"{base}/in")
     s = jobs.file_stream(spark, f"{base}/in", schema, max_files=FILES)
-    out = _run(jobs.anchored_window_stream(s, "idempotency_key", "ts", 86400, 1,
-                                           ["row_id", "idempotency_key"], ["row_id"]), base)
+    out = _run(jobs.anchored_window_stream(s, "idempotency_key", "ts", 86400, 1, ["row_id", "idempotency_key"], ["row_id"],
+                                           result="row_id", delay="1 minute"), base)
     return _with_start(out)
 
 
@@ -304,5 +306,5 @@ def o59b(spark, sf):
 
     r = A.events_txn(spark, sf).select(
         "row_id", F.concat_ws(":", "account", "merchant").alias("idempotency_key"), "ts")
-    return anchored_windows(r, "idempotency_key", "ts", ["row_id"], 86400, 1).select(
-        "row_id", "idempotency_key", "window_start", "count_in_window", "allowed")
+    return anchored_windows(r, "idempotency_key", "ts", ["row_id"], 86400, 1, result=True).select(
+        "row_id", "idempotency_key", "window_start", "count_in_window", "allowed", "result")

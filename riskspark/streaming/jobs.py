@@ -93,16 +93,27 @@ def account_feature_stream(stream: DataFrame, key: str = "account") -> DataFrame
 
 
 def anchored_window_stream(stream: DataFrame, key: str, ts: str, seconds: int, limit: int,
-                           keep: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
-    """O-73 (limit 100 per 60 s) / O-59 (limit 1 per 24 h) in a stream."""
+                           keep: Sequence[str], tie: Sequence[str] = (), result: str | None = None,
+                           delay: str | None = None) -> DataFrame:
+    """O-73 (limit 100 per 60 s) / O-59 (limit 1 per 24 h) in a stream.
+
+    ``result`` names the column whose value the first call of a window hands
+    to all later ones. With ``delay`` the state of a key ends with its window
+    once the watermark, ``delay`` behind the newest row, has passed it; rows
+    older than the watermark are dropped. ``ts`` is a TIMESTAMP_NTZ."""
     configure_state_store(stream.sparkSession)
     out = T.StructType([*[stream.schema[c] for c in keep],
                         T.StructField("window_start_us", T.LongType()),
                         T.StructField("count_in_window", T.LongType()),
-                        T.StructField("allowed", T.BooleanType())])
+                        T.StructField("allowed", T.BooleanType()),
+                        *([T.StructField("result", T.StringType())] if result else [])])
+    if delay:  # wall-clock micros, so that windows and timers don't depend on the session's time zone
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
+        stream = stream.withColumn("wall_us", micros).withColumn("wall_at", F.timestamp_micros("wall_us")).withWatermark("wall_at", delay)
+        ts = "wall_us"
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=AnchoredWindowProcessor(ts, seconds * 1_000_000, limit, keep, tie),
-        outputStructType=out, outputMode="Append", timeMode="None")
+        statefulProcessor=AnchoredWindowProcessor(ts, seconds * 1_000_000, limit, keep, tie, result, bool(delay)),
+        outputStructType=out, outputMode="Append", timeMode="EventTime" if delay else "None")
 
 
 def decision_batch_writer(base: str) -> Callable[[DataFrame, int], None]:

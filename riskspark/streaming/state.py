@@ -27,15 +27,18 @@ SEEN_VAL = T.StructType([T.StructField("seen", T.BooleanType())])
 
 
 def _us(ts: pd.Series) -> np.ndarray:
+    if ts.dtype.kind == "i":  # already micros
+        return ts.to_numpy()
     return ts.astype("datetime64[us]").astype("int64").to_numpy()
 
 
 def prior_stats(x: np.ndarray, n0: int, mean0: float, m2_0: float):
-    """Exclusive running (count, mean, M2) of ``x`` after a prefix state,
-    merged with Chan's formula; shifted sums keep it stable."""
-    k = mean0 if n0 else (x[0] if len(x) else 0.0)
-    d = x - k
-    c = np.arange(len(x), dtype=np.float64)                  # rows of this batch before i
+    """Exclusive running (count, mean, M2) of the known values of ``x`` after
+    a prefix state, merged with Chan's formula; shifted sums keep it stable."""
+    known = ~np.isnan(x)
+    k = mean0 if n0 else (x[known][0] if known.any() else 0.0)
+    d = np.where(known, x - k, 0.0)
+    c = np.concatenate([[0.0], np.cumsum(known)[:-1]])       # known values of this batch before i
     s1 = np.concatenate([[0.0], np.cumsum(d)[:-1]])
     s2 = np.concatenate([[0.0], np.cumsum(d * d)[:-1]])
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -78,19 +81,21 @@ class AccountFeatureProcessor(StatefulProcessor):
         with np.errstate(invalid="ignore", divide="ignore"):
             sd = np.where(n < 2, 1.0, np.maximum(np.sqrt(np.maximum(m2 / np.where(n > 1, n - 1, 1), 0.0)), 1.0))
             z = np.where(n < 2, 0.0, (x - mean) / sd)
-        us = _us(pdf[self.ts])
-        prev = np.concatenate([[last0 if last0 is not None else -1], us[:-1]]).astype("int64")
-        has_prev = np.concatenate([[last0 is not None], np.ones(max(m - 1, 0), dtype=bool)])
-        tslt = np.where(has_prev, np.maximum(0.0, (us - prev) / 1e6), 0.0)
         ts = pdf[self.ts]
-        dow = ts.dt.dayofweek.to_numpy()
+        timed = ts.notna().to_numpy()  # rows without a time are last, have no gap and leave none
+        us = _us(ts)
+        prev = np.concatenate([[last0 if last0 is not None else -1], us[:-1]]).astype("int64")
+        has_prev = np.concatenate([[last0 is not None], timed[:-1]]) & timed
+        tslt = np.where(has_prev, np.maximum(0.0, (us - np.where(has_prev, prev, us)) / 1e6), 0.0)
+        last0 = int(us[timed][-1]) if timed.any() else last0
+        dow = ts.dt.dayofweek.astype("Int32")
         out = {c: pdf[c].to_numpy() for c in self.keep}
         out.update({
             "amount": x, "payment_channel": pdf["payment_channel"].to_numpy(),
             "time_since_last_transaction": tslt, "velocity_score": prior_n.astype("int64"),
             "spending_deviation_score": z, "is_first_transaction": (prior_n == 0).astype("int32"),
-            "hour": ts.dt.hour.to_numpy().astype("int32"), "day_of_week": dow.astype("int32"),
-            "month": ts.dt.month.to_numpy().astype("int32"), "is_weekend": (dow >= 5).astype("int32"),
+            "hour": ts.dt.hour.astype("Int32").array, "day_of_week": dow.array,
+            "month": ts.dt.month.astype("Int32").array, "is_weekend": (dow >= 5).astype("Int32").array,
             "is_fraud": pdf["is_fraud"].to_numpy().astype("int32"),
             "is_cross_bank_transfer": (pdf["from_bank"] != pdf["to_bank"]).to_numpy().astype("int32"),
             "is_cross_currency_transfer": ((pdf["payment_currency"] != pdf["receiving_currency"]).to_numpy()
@@ -107,14 +112,15 @@ class AccountFeatureProcessor(StatefulProcessor):
                 if v not in known:
                     state.updateValue((v,), (True,))
         nb, mb, m2b = prior_stats(np.append(x, 0.0), nv0, mean0, m2_0)
-        self.stats.update((int(n0 + m), int(nb[-1]), float(mb[-1]), float(m2b[-1]), int(us[-1])))
+        self.stats.update((int(n0 + m), int(nb[-1]), float(mb[-1]), float(m2b[-1]), last0))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-WINDOW_SCHEMA = T.StructType([T.StructField("start_us", T.LongType()), T.StructField("count", T.LongType())])
+WINDOW_SCHEMA = T.StructType([T.StructField("start_us", T.LongType()), T.StructField("count", T.LongType()),
+                              T.StructField("first", T.StringType())])
 
 
 class AnchoredWindowProcessor(StatefulProcessor):
@@ -122,36 +128,55 @@ class AnchoredWindowProcessor(StatefulProcessor):
     previous window expired.  Emits each row with its window start, its
     count inside the window, and ``allowed = count <= limit``.  With
     ``limit = 1`` it is the idempotency rule: the first call per key wins
-    for the window length, later calls are duplicates."""
+    for the window length, later calls are duplicates; each row also gets
+    ``result``, what the call that opened its window had there.
 
-    def __init__(self, ts: str, length_us: int, limit: int, keep: Sequence[str], tie: Sequence[str] = ()):
+    With event time (``expire``) a timer at the window's end removes the state
+    of a key that the watermark has passed, so state holds live windows only."""
+
+    def __init__(self, ts: str, length_us: int, limit: int, keep: Sequence[str], tie: Sequence[str] = (), result: str | None = None,
+                 expire: bool = False):
         self.ts, self.length, self.limit, self.keep, self.tie = ts, length_us, limit, list(keep), list(tie)
+        self.result, self.expire = result, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.win = handle.getValueState("window", WINDOW_SCHEMA)
+        self.handle, self.win = handle, handle.getValueState("window", WINDOW_SCHEMA)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.win.exists() and self.win.get()[0] + self.length <= expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999:
+            self.win.clear()  # else a later window of the key is open
+        return iter([])
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, *self.tie], kind="mergesort")
         us = _us(pdf[self.ts])
-        start, count = self.win.get() if self.win.exists() else (None, 0)
+        start, count, first = self.win.get() if self.win.exists() else (None, 0, None)
+        opened = start
+        results = [None if v is None or v is pd.NA or v != v else str(v) for v in pdf[self.result]] if self.result else None
+        given = []
         starts = np.empty(len(us), dtype="int64")
         counts = np.empty(len(us), dtype="int64")
         i = 0
         while i < len(us):
             if start is None or us[i] >= start + self.length:
-                start, count = int(us[i]), 0
+                start, count, first = int(us[i]), 0, results[i] if results else None
             # every row before the window end belongs to this window
             j = int(np.searchsorted(us, start + self.length, side="left"))
             k = j - i
             starts[i:j] = start
             counts[i:j] = count + np.arange(1, k + 1)
+            given += [first] * k
             count += k
             i = j
-        self.win.update((int(start), int(count)))
+        self.win.update((int(start), int(count), first))
+        if self.expire and start != opened:
+            self.handle.registerTimer(-(-(start + self.length) // 1000))
         out = {c: pdf[c].to_numpy() for c in self.keep}
         out["window_start_us"] = starts
         out["count_in_window"] = counts
         out["allowed"] = counts <= self.limit
+        if self.result:
+            out["result"] = given
         yield pd.DataFrame(out)
 
     def close(self) -> None:

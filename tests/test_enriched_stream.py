@@ -78,3 +78,37 @@ def test_a_batch_that_fails_between_sinks_shows_in_none(spark, monkeypatch):
     for sink in seen:
         ids = [r["transaction_id"] for r in files.read_committed(spark, base, sink).collect()]
         assert len(ids) == len(set(ids)) == n
+
+
+def test_first_result_and_expired_state(spark):
+    day = datetime(2024, 5, 1)
+    rows = [(1, "a", day), (2, "a", day + timedelta(hours=1)), (3, "b", day + timedelta(hours=2)), (4, "a", day + timedelta(hours=25)),
+            (5, "a", day + timedelta(hours=26)), (6, "c", day + timedelta(hours=200)), (7, "d", day + timedelta(hours=400))]
+    base = q._fresh(spark, "expire")
+    schema = "row_id long, k string, ts timestamp_ntz"
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    s = jobs.file_stream(spark, f"{base}/in", spark.createDataFrame(rows, schema).schema, max_files=1)
+    s = jobs.anchored_window_stream(s, "k", "ts", 86400, 1, ["row_id", "k"], ["row_id"], result="row_id", delay="1 minute")
+    query = (s.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt").option("path", f"{base}/out")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    got = {r["row_id"]: (r["allowed"], r["result"]) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {1: (True, "1"), 2: (False, "1"), 3: (True, "3"), 4: (True, "4"), 5: (False, "4"), 6: (True, "6"), 7: (True, "7")}
+    left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert left <= 3, "only the last window and its timer stay"
+
+
+def test_feature_stream_survives_nulls(spark):
+    from riskspark.operators import features as feat
+
+    t = A.events_txn(spark, SF001).withColumns({
+        "amount": F.when(F.col("row_id") % 11 != 3, F.col("amount"))})
+    base = q._fresh(spark, "nulls70")
+    schema = q._stage(t, f"{base}/in")
+    jobs.run_available_now(jobs.account_feature_stream(jobs.file_stream(spark, f"{base}/in", schema, max_files=q.FILES)), f"{base}/out", f"{base}/ckpt")
+    got = {r["row_id"]: r for r in spark.read.parquet(f"{base}/out").collect()}
+    for w in feat.feature_rows(t, A.EVENTS_TIE, keep=["row_id"]).collect():
+        g = got[w["row_id"]]
+        for c in ("spending_deviation_score", "time_since_last_transaction"):
+            assert g[c] == (None if w[c] is None else pytest.approx(w[c], abs=1e-9)), (w["row_id"], c)
