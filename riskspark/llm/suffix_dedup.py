@@ -171,8 +171,9 @@ def construct(span: int, size: int):
             if len(rows):
                 ats = repeated_windows(rows, span)
                 once = [i for i, t in enumerate(rows["times"]) if t == 1 and len(ats[i])]
-                yield pd.DataFrame({"key": rows["key"].to_numpy()[once], "run": rows["run"].to_numpy()[once],
-                                    "ats": [ats[i] + rows["at"].iloc[i] for i in once]})
+                if once:  # an empty column of lists would have no type
+                    yield pd.DataFrame({"key": rows["key"].to_numpy()[once], "run": rows["run"].to_numpy()[once],
+                                        "ats": [ats[i] + rows["at"].iloc[i] for i in once]})
 
     return build
 

@@ -368,6 +368,14 @@ def test_suffix_dedup_matches_brute_force(frame, how):
     assert got == brute_suffix(rows, 40)
 
 
+def test_suffix_parts_without_a_repeat_give_nothing():
+    import pandas as pd
+
+    rows = pd.DataFrame({"part": 7, "key": 7, "run": [1, 2], "left": [3, 3], "n": 4, "at": 0, "times": 1, "body": [b"abcdef", b"uvwxyz"]})
+    found = list(suffix_dedup.construct(4, 100)(iter([rows])))
+    assert sum(map(len, found)) == 0 and all(f["ats"].dtype == object for f in found)
+
+
 def test_suffix_dedup_on_documents(docs, texts):
     got = got_rows(suffix_dedup.remove_repeats(docs), *SUFFIX)
     assert got == brute_suffix(texts, 400) and sum(r[2] for r in got) > 0
