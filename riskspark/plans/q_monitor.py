@@ -17,7 +17,7 @@ from riskspark.operators import evaluate as ev
 from riskspark.operators import monitor as mo
 from riskspark.plans.q_evaluate import GRID
 from riskspark.plans.registry import r6, register
-from riskspark.session import table_dir
+from riskspark.session import cut_lineage, table_dir
 from riskspark.sources import files
 
 P = A.PREDICTIONS_SQL
@@ -224,6 +224,28 @@ def o101(spark, sf):
     return mo.psi(train, live, "amount")
 
 
+_EDGES = ", ".join(f"quantile_disc(CAST(amount AS DOUBLE), {i / 10}) AS q{i}" for i in range(1, 10))
+_QBIN = " + ".join(f"CAST(CAST(amount AS DOUBLE) > q{i} AS INTEGER)" for i in range(1, 10))
+
+
+@register("o101_psi_quantiles", f"""WITH {CUTP}, {TRAIN}, {LIVE}, q AS (SELECT {_EDGES} FROM tr),
+e AS (SELECT {_QBIN} AS bin, count(*) AS n FROM tr, q GROUP BY 1),
+a AS (SELECT {_QBIN} AS bin, count(*) AS n FROM lv, q GROUP BY 1),
+j AS (SELECT greatest(coalesce(e.n / (SELECT sum(n) FROM e), 0), 1e-6) AS es,
+             greatest(coalesce(a.n / (SELECT sum(n) FROM a), 0), 1e-6) AS as_
+      FROM e FULL OUTER JOIN a ON e.bin = a.bin)
+SELECT {r6('sum((as_ - es) * ln(as_ / es))', 'psi')}, true AS sketch_agrees FROM j""")
+def o101q(spark, sf):
+    """Exact decile bins, and whether the index read from the stored hourly
+    sketches is within 0.01 of it."""
+    _, train, live = _periods(spark, sf)
+    train, live = (cut_lineage(d.select("amount", "created_at")) for d in (train, live))
+    exact = mo.psi_by_edges(train, live, "amount", mo.quantile_edges(train, "amount"))
+    sketched = mo.psi_of_sketches(*(cut_lineage(mo.hourly_sketches(d, "amount", "created_at")) for d in (train, live)))
+    return (exact.withColumn("_one", F.lit(1)).join(sketched.select(F.col("psi").alias("_s"), F.lit(1).alias("_one")), "_one")
+            .select("psi", (F.abs(F.col("psi") - F.col("_s")) <= 0.01).alias("sketch_agrees")))
+
+
 @register("o101_chi_square", f"""WITH {CUTP},
 x AS (SELECT CASE WHEN p.created_at < cut.c THEN 'train' ELSE 'live' END AS period, p.payment_channel
       FROM ({P}) p, cut),
