@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from riskspark import adapters as A
+from riskspark.functions.calendar import ntz_lit
 from riskspark.operators import decide as dc
 from riskspark.operators import features as feat
 from riskspark.plans.q_features import FEATURE_ROW_SQL, feature_rows_query
@@ -132,11 +133,24 @@ def o06(spark, sf):
     return r.unionByName(a)
 
 
-@register("o07_publish")
+TOPIC_SQL = f"""WITH m AS (SELECT CAST(user_id AS VARCHAR) AS key, transaction_id, created_at,
+  CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 8 AS part FROM ({P}) p)
+SELECT key, transaction_id, coalesce(part, 0) AS "partition",
+       row_number() OVER (PARTITION BY coalesce(part, 0) ORDER BY created_at, transaction_id) - 1 AS "offset" FROM m"""
+
+
+@register("o07_publish", TOPIC_SQL)
 def o07(spark, sf):
+    """Two calls, of the earlier and the later half of the time: the second continues the offsets."""
     base = _dir(spark, sf, "bus")
-    files.publish(A.predictions(spark, sf).drop("risk_flags"), "user_id", "transactions.raw", base)
-    return spark.read.schema("key string, value string").json(f"{base}/transactions.raw")
+    p = A.predictions(spark, sf).drop("risk_flags")
+    lo, hi = p.agg(F.min("created_at"), F.max("created_at")).first()
+    late = F.col("created_at") >= ntz_lit(lo + (hi - lo) / 2) if lo else F.lit(False)
+    for half in (p.where(~late), p.where(late)):
+        files.publish(half, "user_id", "transactions.raw", base, order=["created_at", "transaction_id"])
+    return spark.read.schema("key string, value string, offset long, partition int").json(
+        f"{base}/transactions.raw").select("key", F.get_json_object("value", "$.transaction_id").alias("transaction_id"),
+                                           "partition", "offset")
 
 
 @register("o09_prediction_log", f"""

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskspark.plans.rank import positions
+
 # The raw transfer CSV layout (the second "Account" column is
 # the receiver; the schema is positional, so the duplicate header is harmless).
 RAW_TRANSFER_SCHEMA = T.StructType([
@@ -167,33 +169,94 @@ def require_kafka(spark: SparkSession) -> None:
         raise RuntimeError("a broker is named, but the Kafka connector is not on Spark's class path")
 
 
-def publish(df: DataFrame, key: str, topic: str, target: str, bootstrap: str | None = None) -> None:
+TOPIC_PARTITIONS = 8
+_MESSAGE = "key string, value string, offset long"
+
+
+def topic_partition(key: str, partitions: int = TOPIC_PARTITIONS) -> Column:
+    """Partition of a message: a hash of its key (null keys: partition 0)."""
+    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.pmod(h, F.lit(partitions)), F.lit(0)).cast("int")
+
+
+def end_offsets(spark: SparkSession, topic: str, target: str) -> dict[int, int]:
+    """partition -> the offset that its next message gets (<= partitions rows)."""
+    path = f"{target}/{topic}"
+    if not _exists(spark, path):
+        return {}
+    rows = (spark.read.schema(f"{_MESSAGE}, partition int").json(path).groupBy("partition")
+            .agg((F.max("offset") + 1).alias("end")).collect())
+    return {r["partition"]: r["end"] for r in rows if r["end"] is not None}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def publish(df: DataFrame, key: str, topic: str, target: str, bootstrap: str | None = None,
+            order: Sequence[str] = (), partitions: int = TOPIC_PARTITIONS) -> None:
     """O-07 batch: publish keyed JSON; Kafka (hash-partitioned
     by key on the broker side) when a broker is named, else JSON files under
-    ``target``/topic."""
-    msgs = to_messages(df, key)
+    ``target``/topic/partition=p.  There a message's partition follows from its
+    key and its offset continues those of earlier calls, in ``order`` (then by
+    key and value), so the messages of a key keep their order.  One writer at a
+    time per topic."""
     spark = df.sparkSession
     if bootstrap:
         require_kafka(spark)
-        (msgs.write.format("kafka").option("kafka.bootstrap.servers", bootstrap)
+        (to_messages(df, key).write.format("kafka").option("kafka.bootstrap.servers", bootstrap)
          .option("kafka.acks", "all").option("topic", topic).save())
-    else:
-        msgs.write.mode("append").json(f"{target}/{topic}")
+        return
+    sorts = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    msgs = df.select(F.col(key).cast("string").alias("key"),
+                     F.to_json(F.struct(*df.columns)).alias("value"), *sorts)
+    ends = end_offsets(spark, topic, target)
+    first = F.lit(0).cast("long")
+    for p, end in ends.items():
+        first = F.when(F.col("partition") == p, F.lit(end)).otherwise(first)
+    placed = positions(msgs.withColumn("partition", topic_partition("key", partitions)),
+                       [*[f"_o{i}" for i in range(len(sorts))], "key", "value"], group="partition", sizes=False)
+    (placed.select("key", "value", (F.col("_pos") + first).alias("offset"), "partition")
+     .write.mode("append").partitionBy("partition").json(f"{target}/{topic}"))
 
 
 def read_topic_stream(spark: SparkSession, topic: str, source: str, bootstrap: str | None = None,
-                      starting: str = "latest", max_files: int | None = None) -> DataFrame:
-    """O-08: streaming (key, value) records from a topic, or from a folder of
-    JSON message files with the same layout."""
+                      starting: str = "latest", max_files: int | None = None,
+                      group: str | None = None) -> DataFrame:
+    """O-08: streaming records from a topic, (key, value) from a broker, or
+    (key, value, partition, offset) from a folder that ``publish`` writes.
+
+    ``latest`` skips messages that the topic holds now; with a ``group`` its
+    first start is kept beside the topic, so a restarted consumer goes on where
+    its checkpoint stands and does not skip what came while it was down."""
+    if starting not in ("earliest", "latest"):
+        raise ValueError(f"starting must be earliest or latest, not {starting!r}")
     if bootstrap:
         require_kafka(spark)
         return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
                 .option("subscribe", topic).option("startingOffsets", starting).load()
                 .select(F.col("key").cast("string"), F.col("value").cast("string")))
-    r = spark.readStream.schema("key string, value string")
+    start = _start_offsets(spark, topic, source, starting, group)
+    r = spark.readStream.schema(f"{_MESSAGE}, partition int")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.json(f"{source}/{topic}")
+    rows = r.json(f"{source}/{topic}")
+    for p, end in start.items():
+        rows = rows.where((F.col("partition") != p) | (F.col("offset") >= end))
+    return rows.select("key", "value", "partition", "offset")
+
+
+def _start_offsets(spark, topic, source, starting, group) -> dict[int, int]:
+    kept = f"{source}/_groups/{topic}/{group}"
+    if group and _exists(spark, f"{kept}/_SUCCESS"):
+        return {r["partition"]: r["start"]
+                for r in spark.read.schema("partition int, start long").parquet(kept).collect()}  # <= partitions rows
+    start = end_offsets(spark, topic, source) if starting == "latest" else {}
+    if group:
+        (spark.createDataFrame(sorted(start.items()), "partition int, start long").coalesce(1)
+         .write.mode("overwrite").parquet(kept))
+    return start
 
 
 def commit_batch(spark: SparkSession, base: str, batch_id: int, sinks: Sequence[str]) -> None:
