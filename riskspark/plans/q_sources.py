@@ -139,7 +139,13 @@ SELECT key, transaction_id, coalesce(part, 0) AS "partition",
        row_number() OVER (PARTITION BY coalesce(part, 0) ORDER BY created_at, transaction_id) - 1 AS "offset" FROM m"""
 
 
-@register("o07_publish", TOPIC_SQL)
+def topic_places(messages):
+    """Where each prediction's message stands (as ``TOPIC_SQL``)."""
+    return messages.select("key", F.get_json_object("value", "$.transaction_id").alias("transaction_id"),
+                           "partition", "offset")
+
+
+@register("o07_publish")
 def o07(spark, sf):
     """Two calls, of the earlier and the later half of the time: the second continues the offsets."""
     base = _dir(spark, sf, "bus")
@@ -148,9 +154,12 @@ def o07(spark, sf):
     late = F.col("created_at") >= ntz_lit(lo + (hi - lo) / 2) if lo else F.lit(False)
     for half in (p.where(~late), p.where(late)):
         files.publish(half, "user_id", "transactions.raw", base, order=["created_at", "transaction_id"])
-    return spark.read.schema("key string, value string, offset long, partition int").json(
-        f"{base}/transactions.raw").select("key", F.get_json_object("value", "$.transaction_id").alias("transaction_id"),
-                                           "partition", "offset")
+    return spark.read.schema("key string, value string, offset long, partition int").json(f"{base}/transactions.raw")
+
+
+@register("o07_topic_offsets", TOPIC_SQL)
+def o07_offsets(spark, sf):
+    return topic_places(o07(spark, sf))
 
 
 @register("o09_prediction_log", f"""

@@ -17,7 +17,7 @@ from riskspark import adapters as A
 from riskspark.plans.q_features import CAL_SQL, EV_ORDER, TSLT_SQL, Z_SQL, _prior_sql
 from riskspark.functions.rules import NO_REASON
 from riskspark.plans.q_online import FLAGS_SQL, RUNNING, baseline_sql
-from riskspark.plans.q_sources import TOPIC_SQL
+from riskspark.plans.q_sources import TOPIC_SQL, topic_places
 from riskspark.plans.registry import r6, register, round6
 from riskspark.session import table_dir
 from riskspark.sources import files
@@ -281,14 +281,18 @@ def o59(spark, sf):
     return _with_start(out)
 
 
-@register("o08_topic_source", TOPIC_SQL)
+@register("o08_topic_source")
 def o08(spark, sf):
     base = _fresh(spark, "topic")
     files.publish(A.predictions(spark, sf).drop("risk_flags"), "user_id", "transactions.raw", f"{base}/bus",
                   order=["created_at", "transaction_id"])
     s = files.read_topic_stream(spark, "transactions.raw", f"{base}/bus", starting="earliest", max_files=FILES)
-    return _run(s.select("key", F.get_json_object("value", "$.transaction_id").alias("transaction_id"),
-                         "partition", "offset"), base)
+    return _run(s, base)
+
+
+@register("o08_topic_offsets", TOPIC_SQL)
+def o08_offsets(spark, sf):
+    return topic_places(o08(spark, sf))
 
 
 @register("o73_rate_limit_batch", _anchored_sql("account", 60, 100, "account"))
