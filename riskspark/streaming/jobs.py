@@ -83,12 +83,27 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str
             .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others]))
 
 
+#: Hash values that the keys of a stateful step are grouped by: a call for
+#: each bucket of a micro-batch, not for each key.
+BUCKETS = 1024
+
+
+def bucketed(stream: DataFrame, key: str) -> DataFrame:
+    """``stream`` with its key as text (null, which is a key too: empty) and
+    the bucket of the key."""
+    text = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+    # (the state processors lose names that begin with an underscore)
+    return stream.withColumn("key_text", text).withColumn("state_bucket", F.pmod(F.xxhash64("key_text"), F.lit(BUCKETS)).cast("int"))
+
+
 def account_feature_stream(stream: DataFrame, key: str = "account") -> DataFrame:
     """O-70: streaming past-only features; same definition as the batch
     ``feature_rows`` (tested equal on the driver tables)."""
     configure_state_store(stream.sparkSession)
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=AccountFeatureProcessor(), outputStructType=FEATURE_OUT,
+    processor = AccountFeatureProcessor()
+    s = bucketed(stream, key).withColumns({f"{c}_text": F.col(c).cast("string") for c in processor.seen_cols})
+    return s.groupBy("state_bucket").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=FEATURE_OUT,
         outputMode="Append", timeMode="None")
 
 
@@ -102,7 +117,9 @@ def anchored_window_stream(stream: DataFrame, key: str, ts: str, seconds: int, l
     once the watermark, ``delay`` behind the newest row, has passed it; rows
     older than the watermark are dropped. ``ts`` is a TIMESTAMP_NTZ."""
     configure_state_store(stream.sparkSession)
-    out = T.StructType([*[stream.schema[c] for c in keep],
+    # whole numbers travel as text: beside a null pandas has none
+    texts = {c: f"{c}_text" for c in keep if isinstance(stream.schema[c].dataType, T.IntegralType)}
+    out = T.StructType([*[T.StructField(texts[c], T.StringType()) if c in texts else stream.schema[c] for c in keep],
                         T.StructField("window_start_us", T.LongType()),
                         T.StructField("count_in_window", T.LongType()),
                         T.StructField("allowed", T.BooleanType()),
@@ -111,9 +128,15 @@ def anchored_window_stream(stream: DataFrame, key: str, ts: str, seconds: int, l
         micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
         stream = stream.withColumn("wall_us", micros).withColumn("wall_at", F.timestamp_micros("wall_us")).withWatermark("wall_at", delay)
         ts = "wall_us"
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=AnchoredWindowProcessor(ts, seconds * 1_000_000, limit, keep, tie, result, bool(delay)),
+    s = bucketed(stream, key).withColumns({t: F.col(c).cast("string") for c, t in texts.items()})
+    if result:
+        s = s.withColumn("result_text", F.col(result).cast("string"))
+    s = s.groupBy("state_bucket").transformWithStateInPandas(
+        statefulProcessor=AnchoredWindowProcessor(ts, seconds * 1_000_000, limit, [texts.get(c, c) for c in keep], tie,
+                                                  "result_text" if result else None, bool(delay), "key_text"),
         outputStructType=out, outputMode="Append", timeMode="EventTime" if delay else "None")
+    return s.select(*[F.col(texts[c]).cast(stream.schema[c].dataType).alias(c) if c in texts else F.col(c) for c in keep],
+                    *[c for c in s.columns[len(keep):]])
 
 
 def decision_batch_writer(base: str) -> Callable[[DataFrame, int], None]:
@@ -166,8 +189,10 @@ def enrich_stream(stream: DataFrame, user: str = "account", ts: str = "ts", tie:
     configure_state_store(stream.sparkSession)
     columns = list(dict.fromkeys([user, *tie, ts, "amount", "payment_channel", "merchant", "location", "status", *keep]))
     out = T.StructType([*[stream.schema[c] for c in columns], *RUNNING_OUT])
-    # the state's key is text: rows without an account are one key of their own
-    s = stream.select(*columns, F.coalesce(F.col(user).cast("string"), F.lit("\0")).alias("_key")).groupBy("_key").transformWithStateInPandas(
+    # the state's keys are text: rows without an account are one key of their own
+    s = bucketed(stream.select(*columns), user).withColumns(
+        {f"{kind}_text": F.col(c).cast("string") for kind, c in (("merchant", "merchant"), ("method", "payment_channel"), ("place", "location"))})
+    s = s.groupBy("state_bucket").transformWithStateInPandas(
         statefulProcessor=RunningBaselineProcessor(ts, tie, columns), outputStructType=out, outputMode="Append", timeMode="None")
     s = s.withColumns({"_sum": (F.col("_sum").cast("decimal(38,0)") / F.lit(100)).cast("decimal(28,2)"), "_sum2": F.col("_sum2").cast("decimal(38,0)"),
                        "_prev_ts": F.timestamp_micros("_prev_us").cast(stream.schema[ts].dataType)}).drop("_prev_us")

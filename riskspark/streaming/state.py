@@ -1,14 +1,17 @@
-"""Keyed state for streaming operators (O-70, O-73, O-59).
-
-Processors for ``groupBy(key).transformWithStateInPandas``.  Each call
-receives one key's rows of one micro-batch; they are sorted and processed
-with vectorised numpy against O(1) scalar state plus ``MapState`` entries
-for the values already seen, so a busy key costs one micro-batch of rows
-per task, never its whole history.
+"""Keyed state for streaming operators (O-70, O-72, O-73, O-59).
+
+Processors for ``groupBy(bucket).transformWithStateInPandas``.  A bucket
+holds the keys of one hash value, so that a call, its frames and its
+exchanges with the state store serve many keys.  Each call receives a
+bucket's rows of one micro-batch, sorted by key and time; state is read
+and written once for each key that has rows (windows, which expire: once for
+the bucket).  A key costs its rows of the micro-batch and its own state,
+whose lists of values seen grow with their number, never with its rows.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
@@ -22,8 +25,16 @@ STATS_SCHEMA = T.StructType([
     T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType()),
     T.StructField("last_us", T.LongType()),
 ])
-SEEN_KEY = T.StructType([T.StructField("v", T.StringType())])
-SEEN_VAL = T.StructType([T.StructField("seen", T.BooleanType())])
+ACCOUNT_KEY = T.StructType([T.StructField("v", T.StringType())])
+#: The values seen of each kind, as JSON.
+ACCOUNT_VAL = T.StructType([*STATS_SCHEMA.fields, T.StructField("seen", T.BinaryType())])
+
+
+def _spans(keys: Sequence[str]) -> list[tuple[str, int, int]]:
+    """(key, first place, place behind the last) of sorted keys."""
+    a = np.asarray(keys, dtype=object)
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])).tolist()
+    return [(a[i], i, j) for i, j in zip(starts, [*starts[1:], len(a)])]
 
 
 def _us(ts: pd.Series) -> np.ndarray:
@@ -55,44 +66,61 @@ def prior_stats(x: np.ndarray, n0: int, mean0: float, m2_0: float):
 class AccountFeatureProcessor(StatefulProcessor):
     """O-70: the 16-column past-only feature row, state read -> emit -> update.
 
-    State per account: counts, Welford mean/M2 and the last timestamp
-    (one ValueState) and one MapState per tracked value kind (receivers,
-    receiver banks, payment formats, currencies).
+    State per account: counts, Welford mean/M2, the last timestamp and the
+    values seen of each tracked kind (receivers, receiver banks, payment
+    formats, currencies). Rows carry their account as text in ``key`` and the
+    kinds as text in ``<kind>_text``, so a null changes no other value.
     """
 
-    def __init__(self, key: str = "account", ts: str = "ts", tie: Sequence[str] = ("row_id",),
+    def __init__(self, key: str = "key_text", ts: str = "ts", tie: Sequence[str] = ("row_id",),
                  keep: Sequence[str] = ("row_id",), seen: Sequence[str] = ("receiver", "to_bank", "payment_channel")):
         self.key, self.ts, self.tie, self.keep, self.seen_cols = key, ts, list(tie), list(keep), list(seen)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stats = handle.getValueState("stats", STATS_SCHEMA)
-        self.seen = {c: handle.getMapState(f"seen_{c}", SEEN_KEY, SEEN_VAL) for c in self.seen_cols}
+        self.accounts = handle.getMapState("accounts", ACCOUNT_KEY, ACCOUNT_VAL)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, *self.tie], kind="mergesort")
-        if self.stats.exists():
-            n0, nv0, mean0, m2_0, last0 = self.stats.get()
-        else:
-            n0, nv0, mean0, m2_0, last0 = 0, 0, 0.0, 0.0, None
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.key, self.ts, *self.tie], kind="mergesort")
         m = len(pdf)
         x = pdf["amount"].to_numpy(dtype=np.float64)
-        n, mean, m2 = prior_stats(x, nv0, mean0, m2_0)
-        prior_n = n0 + np.arange(m)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sd = np.where(n < 2, 1.0, np.maximum(np.sqrt(np.maximum(m2 / np.where(n > 1, n - 1, 1), 0.0)), 1.0))
-            z = np.where(n < 2, 0.0, (x - mean) / sd)
         ts = pdf[self.ts]
         timed = ts.notna().to_numpy()  # rows without a time are last, have no gap and leave none
         us = _us(ts)
-        prev = np.concatenate([[last0 if last0 is not None else -1], us[:-1]]).astype("int64")
-        has_prev = np.concatenate([[last0 is not None], timed[:-1]]) & timed
+        n, mean, m2 = np.zeros(m), np.zeros(m), np.zeros(m)
+        prior_n, prev, has_prev = np.zeros(m, dtype="int64"), np.zeros(m, dtype="int64"), np.zeros(m, dtype=bool)
+        values = {c: pdf[f"{c}_text"].tolist() for c in self.seen_cols}
+        first = {c: np.zeros(m, dtype="int32") for c in self.seen_cols}
+        for account, i, j in _spans(pdf[self.key].tolist()):
+            if self.accounts.containsKey((account,)):
+                n0, nv0, mean0, m2_0, last0, seen = self.accounts.getValue((account,))
+                seen = json.loads(bytes(seen))
+            else:
+                n0, nv0, mean0, m2_0, last0, seen = 0, 0, 0.0, 0.0, None, {c: [] for c in self.seen_cols}
+            # the state before each row, and after the last
+            nb, mb, m2b = prior_stats(np.append(x[i:j], 0.0), nv0, mean0, m2_0)
+            n[i:j], mean[i:j], m2[i:j] = nb[:-1], mb[:-1], m2b[:-1]
+            prior_n[i:j] = n0 + np.arange(j - i)
+            prev[i], has_prev[i] = (0, False) if last0 is None else (last0, timed[i])
+            prev[i + 1:j], has_prev[i + 1:j] = us[i:j - 1], timed[i:j - 1] & timed[i + 1:j]
+            last0 = int(us[i:j][timed[i:j]][-1]) if timed[i:j].any() else last0
+            for c in self.seen_cols:
+                known = dict.fromkeys(seen[c])
+                for at, v in enumerate(values[c][i:j], i):
+                    if v not in known:
+                        known[v] = None
+                        first[c][at] = 1
+                seen[c] = list(known)
+            self.accounts.updateValue((account,), (int(n0 + j - i), int(nb[-1]), float(mb[-1]), float(m2b[-1]), last0,
+                                                   json.dumps(seen).encode()))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sd = np.where(n < 2, 1.0, np.maximum(np.sqrt(np.maximum(m2 / np.where(n > 1, n - 1, 1), 0.0)), 1.0))
+            z = np.where(n < 2, 0.0, (x - mean) / sd)
         tslt = np.where(has_prev, np.maximum(0.0, (us - np.where(has_prev, prev, us)) / 1e6), 0.0)
-        last0 = int(us[timed][-1]) if timed.any() else last0
         dow = ts.dt.dayofweek.astype("Int32")
         out = {c: pdf[c].to_numpy() for c in self.keep}
         out.update({
             "amount": x, "payment_channel": pdf["payment_channel"].to_numpy(),
-            "time_since_last_transaction": tslt, "velocity_score": prior_n.astype("int64"),
+            "time_since_last_transaction": tslt, "velocity_score": prior_n,
             "spending_deviation_score": z, "is_first_transaction": (prior_n == 0).astype("int32"),
             "hour": ts.dt.hour.astype("Int32").array, "day_of_week": dow.array,
             "month": ts.dt.month.astype("Int32").array, "is_weekend": (dow >= 5).astype("Int32").array,
@@ -102,25 +130,15 @@ class AccountFeatureProcessor(StatefulProcessor):
                                            if "payment_currency" in pdf else np.zeros(m, dtype=bool)).astype("int32"),
         })
         names = {"receiver": "is_new_receiver", "to_bank": "is_new_bank", "payment_channel": "is_new_payment_format"}
-        for c in self.seen_cols:
-            vals = pdf[c].astype(str)
-            state = self.seen[c]
-            known = {v for v in vals.unique() if state.containsKey((v,))}
-            first_here = ~vals.duplicated(keep="first").to_numpy()
-            out[names.get(c, f"is_new_{c}")] = (first_here & ~vals.isin(known).to_numpy()).astype("int32")
-            for v in vals.unique():
-                if v not in known:
-                    state.updateValue((v,), (True,))
-        nb, mb, m2b = prior_stats(np.append(x, 0.0), nv0, mean0, m2_0)
-        self.stats.update((int(n0 + m), int(nb[-1]), float(mb[-1]), float(m2b[-1]), last0))
+        out.update({names.get(c, f"is_new_{c}"): first[c] for c in self.seen_cols})
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-WINDOW_SCHEMA = T.StructType([T.StructField("start_us", T.LongType()), T.StructField("count", T.LongType()),
-                              T.StructField("first", T.StringType())])
+#: The open windows of a bucket as JSON: {key: [start, count, first result]} and the time of its timer.
+WINDOW_SCHEMA = T.StructType([T.StructField("windows", T.BinaryType())])
 
 
 class AnchoredWindowProcessor(StatefulProcessor):
@@ -131,50 +149,65 @@ class AnchoredWindowProcessor(StatefulProcessor):
     for the window length, later calls are duplicates; each row also gets
     ``result``, what the call that opened its window had there.
 
-    With event time (``expire``) a timer at the window's end removes the state
-    of a key that the watermark has passed, so state holds live windows only."""
+    Rows of several keys carry theirs as text in ``key``. With event time
+    (``expire``) windows that the watermark has passed leave the state, and a
+    timer at the end of a bucket's first window removes them when no row
+    comes, so state holds live windows only."""
 
     def __init__(self, ts: str, length_us: int, limit: int, keep: Sequence[str], tie: Sequence[str] = (), result: str | None = None,
-                 expire: bool = False):
+                 expire: bool = False, key: str | None = None):
         self.ts, self.length, self.limit, self.keep, self.tie = ts, length_us, limit, list(keep), list(tie)
-        self.result, self.expire = result, expire
+        self.result, self.expire, self.key = result, expire, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.win = handle, handle.getValueState("window", WINDOW_SCHEMA)
+        self.handle, self.win = handle, handle.getValueState("windows", WINDOW_SCHEMA)
+
+    def read(self) -> tuple[dict, int | None]:
+        windows, timer = json.loads(bytes(self.win.get()[0])) if self.win.exists() else ({}, None)
+        return windows, timer
+
+    def write(self, windows: dict, timer: int | None) -> None:
+        if self.expire and timer is None:
+            timer = -(-(min(w[0] for w in windows.values()) + self.length) // 1000)
+            self.handle.registerTimer(timer)
+        self.win.update((json.dumps([windows, timer]).encode(),))
+
+    def live(self, windows: dict, passed_ms: int) -> dict:
+        """Later rows are newer than the watermark, so they'd open a new window."""
+        return {k: w for k, w in windows.items() if w[0] + self.length > passed_ms * 1000}
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.win.exists() and self.win.get()[0] + self.length <= expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999:
-            self.win.clear()  # else a later window of the key is open
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        windows, timer = self.read()
+        left = self.live(windows, max(at, timerValues.getCurrentWatermarkInMs()))
+        if left:
+            self.write(left, None if timer == at else timer)
+        elif self.win.exists():
+            self.win.clear()
         return iter([])
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, *self.tie], kind="mergesort")
-        us = _us(pdf[self.ts])
-        start, count, first = self.win.get() if self.win.exists() else (None, 0, None)
-        opened = start
+        by = [self.key] if self.key else []
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values([*by, self.ts, *self.tie], kind="mergesort")
+        us = _us(pdf[self.ts]).tolist()
+        windows, timer = self.read()
         results = [None if v is None or v is pd.NA or v != v else str(v) for v in pdf[self.result]] if self.result else None
-        given = []
-        starts = np.empty(len(us), dtype="int64")
-        counts = np.empty(len(us), dtype="int64")
-        i = 0
-        while i < len(us):
-            if start is None or us[i] >= start + self.length:
-                start, count, first = int(us[i]), 0, results[i] if results else None
-            # every row before the window end belongs to this window
-            j = int(np.searchsorted(us, start + self.length, side="left"))
-            k = j - i
-            starts[i:j] = start
-            counts[i:j] = count + np.arange(1, k + 1)
-            given += [first] * k
-            count += k
-            i = j
-        self.win.update((int(start), int(count), first))
-        if self.expire and start != opened:
-            self.handle.registerTimer(-(-(start + self.length) // 1000))
+        given, starts, counts = [], [], []
+        for k, i, j in _spans(pdf[self.key].tolist() if self.key else [""] * len(us)):
+            start, count, first = windows.get(k, (None, 0, None))
+            for at in range(i, j):
+                if start is None or us[at] >= start + self.length:
+                    start, count, first = us[at], 0, results[at] if results else None
+                count += 1
+                starts.append(start)
+                counts.append(count)
+                given.append(first)
+            windows[k] = [start, count, first]
+        self.write(windows, timer)
         out = {c: pdf[c].to_numpy() for c in self.keep}
-        out["window_start_us"] = starts
-        out["count_in_window"] = counts
-        out["allowed"] = counts <= self.limit
+        out["window_start_us"] = np.array(starts, dtype="int64")
+        out["count_in_window"] = np.array(counts, dtype="int64")
+        out["allowed"] = out["count_in_window"] <= self.limit
         if self.result:
             out["result"] = given
         yield pd.DataFrame(out)
@@ -192,8 +225,8 @@ RUNNING_SCHEMA = T.StructType([
     T.StructField("recent", T.BinaryType()),
     T.StructField("method", T.StringType()), T.StructField("method_n", T.LongType()),
     T.StructField("place", T.StringType()), T.StructField("place_n", T.LongType()),
+    T.StructField("uses", T.BinaryType()),  # [value, count] of each kind, as JSON
 ])
-USES_VAL = T.StructType([T.StructField("n", T.LongType())])
 #: What the processor adds to a row: the prefix state before it.
 RUNNING_OUT = [
     T.StructField("_n", T.LongType()), T.StructField("_nv", T.LongType()), T.StructField("_sum", T.StringType()),
@@ -207,48 +240,52 @@ class RunningBaselineProcessor(StatefulProcessor):
     """O-72: the baseline and history of an account as of each of its rows,
     the same prefix state as ``operators.running``: read -> emit -> update.
 
-    State per account: one value (counts, exact sums, hours, running modes and
-    the times of the last hour, which older ones leave) and a count per
+    State per account, one entry: counts, exact sums, hours, running modes, the
+    times of the last hour, which older ones leave, and a count for each
     merchant, method and place used. A row without a time or amount adds
     nothing to the sums and the last hour; rows that arrive after later ones
-    count as earlier for the rows that arrive after them.
+    count as earlier for the rows that arrive after them. Rows carry their
+    account, merchant, method and place as text in ``key_text``, ``merchant_text``,
+    ``method_text`` and ``place_text``.
     """
 
     HOUR, DAY = 3_600_000_000, 86_400_000_000
+    KINDS = ("merchant", "method", "place")
 
     def __init__(self, ts: str, tie: Sequence[str], keep: Sequence[str], only: str = "PENDING"):
         self.ts, self.tie, self.keep, self.only = ts, list(tie), list(keep), only
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("baseline", RUNNING_SCHEMA)
-        self.uses = {c: handle.getMapState(f"uses_{c}", SEEN_KEY, USES_VAL) for c in ("merchant", "method", "place")}
-
-    def counts(self, kind: str, values) -> dict:
-        """Uses so far of the values in this batch, one read for each."""
-        store = self.uses[kind]
-        return {v: store.getValue((v,))[0] if store.containsKey((v,)) else 0 for v in dict.fromkeys(values)}
+        self.accounts = handle.getMapState("accounts", ACCOUNT_KEY, RUNNING_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, *self.tie], kind="mergesort", na_position="last")
-        s = dict(zip(RUNNING_SCHEMA.names, self.state.get())) if self.state.exists() else dict(
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["key_text", self.ts, *self.tie], kind="mergesort", na_position="last")
+        timed = pdf[self.ts].notna()
+        columns = [[u if t else None for u, t in zip(_us(pdf[self.ts]).tolist(), timed)], pdf["amount"].tolist(), pdf["status"].tolist(),
+                   *[[None if pd.isna(v) else v for v in pdf[f"{kind}_text"]] for kind in self.KINDS]]
+        out = []
+        for account, i, j in _spans(pdf["key_text"].tolist()):
+            self.account(account, zip(*[c[i:j] for c in columns]), out)
+        state = pd.DataFrame(out, columns=[f.name for f in RUNNING_OUT], dtype=object)
+        yield pd.concat([pdf[self.keep].reset_index(drop=True), state], axis=1)
+
+    def account(self, account: str, rows, out: list) -> None:
+        """Adds the state before each of an account's rows to ``out``."""
+        s = dict(zip(RUNNING_SCHEMA.names, self.accounts.getValue((account,)))) if self.accounts.containsKey((account,)) else dict(
             n=0, nv=0, cents="0", cents2="0", days=0, last_day=None, from_hour=None, to_hour=None, last_us=None, recent=b"",
-            method=None, method_n=0, place=None, place_n=0)
+            method=None, method_n=0, place=None, place_n=0, uses=b'{"merchant": [], "method": [], "place": []}')
         cents, cents2, recent = int(s["cents"]), int(s["cents2"]), np.frombuffer(s["recent"], np.int64).tolist()
-        text = lambda c: [None if pd.isna(v) else str(v) for v in pdf[c]]
-        merchants, methods = text("merchant"), text("payment_channel")
-        places = [None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in pdf["location"]]
-        seen = {"merchant": self.counts("merchant", merchants), "method": self.counts("method", methods), "place": self.counts("place", places)}
-        out = []
-        for at, amount, status, merchant, method, place in zip(pdf[self.ts], pdf["amount"], pdf["status"], merchants, methods, places):
-            us = None if pd.isna(at) else int(at.to_datetime64().astype("datetime64[us]").astype("int64"))
+        seen = {kind: dict(map(tuple, used)) for kind, used in json.loads(bytes(s["uses"])).items()}
+        for us, amount, status, merchant, method, place in rows:
             near = 0 if us is None else len(recent) - bisect_left(recent, us - self.HOUR)
+            uses = seen["merchant"].get(merchant, 0)
             out.append((s["n"], s["nv"], str(cents), str(cents2), s["days"], s["from_hour"], s["to_hour"], s["method"], s["place"],
-                        seen["merchant"][merchant], near, seen["merchant"][merchant] > 0, seen["place"][place] > 0, s["last_us"]))
+                        uses, near, uses > 0, place in seen["place"], s["last_us"]))
             s["n"] += 1
             for kind, v in (("merchant", merchant), ("method", method), ("place", place)):
-                seen[kind][v] += 1
+                n = seen[kind][v] = seen[kind].get(v, 0) + 1
                 if kind != "merchant" and (kind == "method" or v is not None):
-                    n, best = seen[kind][v], s[kind]
+                    best = s[kind]
                     first = s[f"{kind}_n"] == 0
                     if first or (-n, v is not None, v or "") < (-s[f"{kind}_n"], best is not None, best or ""):
                         s[kind], s[f"{kind}_n"] = v, n
@@ -266,13 +303,9 @@ class RunningBaselineProcessor(StatefulProcessor):
                     s["nv"], cents, cents2 = s["nv"] + 1, cents + c, cents2 + c * c
         newest = s["last_us"]
         recent = recent[bisect_left(recent, newest - self.HOUR):] if newest is not None else []
-        s |= {"cents": str(cents), "cents2": str(cents2), "recent": np.array(recent, np.int64).tobytes()}
-        self.state.update(tuple(s[c] for c in RUNNING_SCHEMA.names))
-        for kind, counts in seen.items():
-            for v, n in counts.items():
-                self.uses[kind].updateValue((v,), (n,))
-        state = pd.DataFrame(out, columns=[f.name for f in RUNNING_OUT], dtype=object)
-        yield pd.concat([pdf[self.keep].reset_index(drop=True), state], axis=1)
+        s |= {"cents": str(cents), "cents2": str(cents2), "recent": np.array(recent, np.int64).tobytes(),
+              "uses": json.dumps({kind: list(used.items()) for kind, used in seen.items()}).encode()}
+        self.accounts.updateValue((account,), tuple(s[c] for c in RUNNING_SCHEMA.names))
 
     def close(self) -> None:
         pass
