@@ -19,7 +19,7 @@ from riskspark.functions.rules import NO_REASON
 from riskspark.plans.q_online import FLAGS_SQL, RUNNING, baseline_sql
 from riskspark.plans.q_sources import TOPIC_SQL, topic_places
 from riskspark.plans.registry import r6, register, round6
-from riskspark.session import table_dir
+from riskspark.session import cut_lineage, table_dir
 from riskspark.sources import files
 from riskspark.sources.keyed_table import KeyedTable
 from riskspark.streaming import jobs
@@ -109,7 +109,7 @@ def _messages(spark, sf, base):
               .withColumn("transaction_id", F.get_json_object("value", "$.transaction_id"))
               .join(t, "transaction_id", "left")
               .select("value", F.coalesce(F.col("ts"), ntz_lit(first)).alias("ts")))
-    _stage(staged, f"{base}/in")
+    _stage(cut_lineage(staged), f"{base}/in")  # joined once, not for each slice
     return jobs.file_stream(spark, f"{base}/in", "value string, ts timestamp_ntz", max_files=FILES)
 
 
