@@ -15,6 +15,7 @@ from riskspark.functions.rules import flag_array, risk_flag_rules
 from riskspark.operators import baseline as bl
 from riskspark.operators.running import running_baselines
 from riskspark.plans.registry import r6, register
+from riskspark.session import cut_lineage
 
 E = A.EVENTS_TXN_SQL
 T = f"t AS ({E})"
@@ -178,7 +179,8 @@ def o39(spark, sf):
     t, old, new = _split(spark, sf)
     active = new.select("account").distinct()
     fresh = bl.user_baselines(t.join(active, "account", "left_semi"))
-    return bl.upsert_baselines(bl.user_baselines(old), fresh)
+    # each written first: a task of the upsert holds one row per user, not the sorts of both sides' parts
+    return bl.upsert_baselines(cut_lineage(bl.user_baselines(old)), cut_lineage(fresh))
 
 
 #: Per row the earlier rows of its account, one by one, and the baseline they
