@@ -59,6 +59,7 @@ def grouped_describe(df: DataFrame, group: str, col: str, tie: Sequence[str],
         aggs.append((vlo + (vhi - vlo) * frac).alias(f"p{int(q * 100)}"))
     return m.join(p.groupBy(group).agg(*aggs), group, "left")
 
+    df = df.select(*dict.fromkeys([group, col, *tie]))  # nothing else is sorted and written
 
 def fraud_by_channel(df: DataFrame, channel: str = "payment_channel", label: str = "is_fraud") -> DataFrame:
     """O-144: count, fraud count and rate per channel, highest rate first."""
