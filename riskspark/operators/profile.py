@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.plans.rank import positions
+from riskspark.session import cut_lineage
 
 
 def column_profile(df: DataFrame, cols: Sequence[str], exact_distinct: bool = True) -> DataFrame:
-    """O-140: per column null count / %, distinct count, min, max (one pass)."""
-    dist = F.countDistinct if exact_distinct else F.approx_count_distinct
+    """O-140: per column null count / %, distinct count, min, max.  Exact
+    distinct values are counted column by column: a task holds values of one
+    column, not a row of all columns for each."""
+    if exact_distinct:
+        df = cut_lineage(df.select(*cols))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"_z{i}"), dist(c).alias(f"_d{i}"),
+        dist = F.lit(None) if exact_distinct else F.approx_count_distinct(c)
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"_z{i}"), dist.alias(f"_d{i}"),
                  F.min(c).cast("double").alias(f"_lo{i}"), F.max(c).cast("double").alias(f"_hi{i}")]
     a = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"_z{i}").alias("null_count"),
@@ -23,7 +28,16 @@ def column_profile(df: DataFrame, cols: Sequence[str], exact_distinct: bool = Tr
                      F.col(f"_d{i}").cast("long").alias("distinct"),
                      F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"))
             for i, c in enumerate(cols)]
-    return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    out = a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if not exact_distinct:
+        return out
+    found = None
+    for c in cols:
+        one = (df.select(F.col(c).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+               .agg(F.count(F.lit(1)).alias("_found")).select(F.lit(c).alias("column"), "_found"))
+        found = one if found is None else found.unionByName(one)
+    return (out.join(F.broadcast(found), "column")  # a row per column
+            .select("column", "null_count", "null_pct", F.col("_found").alias("distinct"), "min", "max"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -45,6 +59,7 @@ def grouped_describe(df: DataFrame, group: str, col: str, tie: Sequence[str],
     """O-143: count, mean, std, min, quartiles (linear interpolation between
     order statistics), max per group.  Quartiles come from exact positions
     (balanced range partitions), not from buffering a group's values."""
+    df = df.select(*dict.fromkeys([group, col, *tie]))  # nothing else is sorted and written
     m = df.groupBy(group).agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
                               F.stddev_samp(col).alias("std"), F.min(col).alias("min"),
                               F.max(col).alias("max"))
@@ -59,7 +74,6 @@ def grouped_describe(df: DataFrame, group: str, col: str, tie: Sequence[str],
         aggs.append((vlo + (vhi - vlo) * frac).alias(f"p{int(q * 100)}"))
     return m.join(p.groupBy(group).agg(*aggs), group, "left")
 
-    df = df.select(*dict.fromkeys([group, col, *tie]))  # nothing else is sorted and written
 
 def fraud_by_channel(df: DataFrame, channel: str = "payment_channel", label: str = "is_fraud") -> DataFrame:
     """O-144: count, fraud count and rate per channel, highest rate first."""
