@@ -391,6 +391,46 @@ def test_bwt_finds_repeats():
         assert [x.tolist() for x in bwt.shared(strings, n)] == want
 
 
+def near_copies(window: int, n: int):
+    """Copies of one text, each with two of its own bytes at a place of its own."""
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcd") for _ in range(3 * window))
+    out = [base[:window + i] + f"{i:02d}" + base[window + i + 2:] for i in range(0, 2 * n, 2)]
+    return [(i, t) for i, t in enumerate([*out, base[20:90], out[3][10:], "x" + base])]
+
+
+@pytest.mark.parametrize("wide", [1, 3, 2000])
+def test_suffix_dedup_of_near_copies(frame, wide):
+    rows = near_copies(40, 30)
+    got = got_rows(suffix_dedup.remove_repeats(frame(rows), window=40, inner=20, wide=wide), *SUFFIX)
+    assert got == brute_suffix(rows, 40)
+
+
+def test_suffix_pieces_of_near_copies_become_one():
+    import pandas as pd
+
+    span, n = 41, 200  # runs that differ in one byte only, at the front or the back
+    bodies = [b"a" * 40 + b"b" * 39 + bytes([i]) if i % 2 else bytes([i]) + b"a" * 39 + b"b" * 40 for i in range(n)]
+    rows = pd.DataFrame({"part": 7, "key": 7, "run": range(n), "left": 40, "n": span, "at": 0, "times": 1, "body": bodies})
+    out = pd.concat(suffix_dedup.halves(span)(iter([rows.iloc[:90], rows.iloc[90:]])))
+    pieces, found = out[out["part"].notna()], out[out["part"].isna()]
+    assert len(pieces) == n + 2 and sorted(pieces["times"])[-2:] == [n // 2, n // 2]
+    assert len(found) == n and set(found["run"]) == set(range(n))
+
+
+def test_bwt_finds_repeats_with_tails():
+    rng = random.Random(14)
+    for _ in range(60):
+        n, m = rng.randint(1, 7), rng.randint(1, 9)
+        heads = [[rng.randint(1, rng.choice([1, 2, 3])) for _ in range(rng.randint(0, 8))] for _ in range(m)]
+        tails = [(rng.randint(-1, 1), bytes(rng.randint(0, rng.choice([0, 1, 2])) for _ in range(rng.randint(0, 8)))) for _ in range(m)]
+        whole = [h + [1000 + k] + [c + 1 for c in t] for h, (k, t) in zip(heads, tails)]
+        windows = [[tuple(w[i:i + n]) for i in range(min(len(h), len(w) - n) + 1)] for h, w in zip(heads, whole)]
+        seen = collections.Counter(w for of_one in windows for w in of_one)
+        want = [[i for i, w in enumerate(of_one) if seen[w] > 1] for of_one in windows]
+        assert [x.tolist() for x in bwt.shared([np.array(h, np.uint16) for h in heads], n, tails)] == want
+
+
 # 10 URL filter ------------------------------------------------------------
 
 def brute_rule(host, path):
