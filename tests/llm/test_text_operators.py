@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -327,6 +328,41 @@ def test_jaccard_hot_group_in_chunks(frame, bits, chunk):
     assert got == brute_components(rows, 3, 90)
 
 
+@pytest.fixture
+def crowded(frame, monkeypatch):
+    """Texts with six times as many shingles as the sketch has cells, and the
+    rows that the tables written for them have."""
+    rng, sizes, plain = random.Random(11), {}, ngram_join.written
+    monkeypatch.setattr(sketch, "BITS", 12)
+    monkeypatch.setattr(sketch, "MOST_BITS", 14)
+
+    def written(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    texts = [[f"w{rng.randrange(10 ** 6)}" for _ in range(150)] for _ in range(160)]
+    texts += [t[:k] + ["new"] + t[k + 1:] for t, k in zip(texts[:8], range(10, 90, 10))]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)], sizes
+
+
+def test_more_shingles_than_cells_leave_few_suspects(frame, crowded):
+    rows, sizes = crowded
+    got = got_rows(ngram_join.jaccard_components(frame(rows)), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows, 3, 90) and sizes["suspects"] < 60
+
+
+def test_fitting_a_sketch():
+    assert sketch.fitting(0, 0.1) == (28, 1.0) and sketch.fitting(10 ** 8, 0.2) == (28, 1.0)
+    assert sketch.fitting(1_400_000_000, 0.1)[0] == 29  # 6 GB
+    assert sketch.fitting(10 ** 12, 0.2)[0] == sketch.MOST_BITS
+    keys = np.random.default_rng(1).integers(0, 2 ** 64, 20_000, dtype=np.uint64)
+    assert sketch.sketched(keys, 1.0).all() and abs(sketch.sketched(keys, 0.25).mean() - 0.25) < 0.02
+    two = pickle.loads(pickle.dumps(sketch.Repeated(np.arange(10 ** 7, dtype=np.uint8).reshape(2, -1), 26)))
+    assert np.array_equal(two.maps, np.arange(10 ** 7, dtype=np.uint8).reshape(2, -1)) and two.bits == 26
+
+
 def test_divide_skip_finds_all():
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 40, 25).astype(np.uint64)) for _ in range(60)]
