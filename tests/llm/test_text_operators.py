@@ -353,6 +353,13 @@ def test_more_shingles_than_cells_leave_few_suspects(frame, crowded):
     assert got == brute_components(rows, 3, 90) and sizes["suspects"] < 60
 
 
+def test_one_of_each_writes_few_suspects(frame, crowded):
+    """As the pipeline's second stage asks for it."""
+    rows, sizes = crowded
+    kept = {r[0] for r in ngram_join.one_of_each(frame(rows), n=5, percent=80).collect()}
+    assert kept == {r[2] for r in brute_components(rows, 5, 80)} and sizes["suspects"] < 80
+
+
 def test_fitting_a_sketch():
     assert sketch.fitting(0, 0.1) == (28, 1.0) and sketch.fitting(10 ** 8, 0.2) == (28, 1.0)
     assert sketch.fitting(1_400_000_000, 0.1)[0] == 29  # 6 GB
