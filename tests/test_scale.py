@@ -1,5 +1,7 @@
 """Steps that keep their cost in proportion to the input, on rows of their own."""
 
+import hashlib
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import profile as pf
+from riskspark.operators import splits as sp
 from riskspark.operators import train as tr
 from riskspark.plans import q_online, q_streaming as q, q_train, rank
 from riskspark.streaming import jobs
@@ -135,3 +138,30 @@ def test_path_lengths_of_walkable_trees():
         want.append(depth + below[at])
     got = tr._path_lengths(np.ascontiguousarray(x.T), tr._walkable(feat, split, left, right, below))
     assert got.tolist() == want
+
+
+def test_labelled_rows_are_written_once_and_not_sorted(spark):
+    d = q_train._labelled(spark, SF001)
+    assert not any(step in plan(d) for step in ("Window", "Join", "Repartition", "Sort"))
+    n = {r[0]: r[1] for r in d.groupBy("split").count().collect()}
+    assert set(n) == {"train", "valid", "test"} and abs(n["train"] / sum(n.values()) - 0.7) < 0.01
+
+
+def test_split_by_counted_cuts_equals_the_sorted_one(spark, monkeypatch):
+    rows = [(i % 97 if i % 5 else i, "c" if i % 11 == 0 else None if i % 3 == 0 else "b", i) for i in range(400)]
+    rows += [(7, "one", i) for i in range(40)]  # a class of equal keys: only ranks can cut it
+    df = spark.createDataFrame(rows, "k long, label string, n int").repartition(3)
+    for digits in (1, 3):
+        monkeypatch.setattr(sp, "DIGITS", digits)
+        for sizes in ((0.30, 0.50), (0.20,)):
+            got = sp.stratified_split(df, "label", ["k"], sizes, ("a", "b", "c")[:len(sizes) + 1]).collect()
+            assert sorted(r["n"] for r in got) == sorted(r[2] for r in rows)
+            for label in ("c", "b", None, "one"):
+                mine = sorted((hashlib.md5(f"42|{r['k']}".encode()).hexdigest(), r["split"]) for r in got if r["label"] == label)
+                want, left = [], len(mine)
+                for name, ts in zip("abc", [*sizes, 0]):
+                    part = left - math.ceil(ts * left)
+                    want += [name] * part
+                    left -= part
+                # splits follow the order of hashes; equal hashes may be cut anywhere
+                assert sorted(s for _, s in mine) == want and [s for _, s in mine] == want
